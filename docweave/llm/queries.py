@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .merge_replay import op10_merge_replay
+from .rule_ledger import op4_rule_ledger
 from .token_planes import op1_token_planes
 
 QUERIES = {
     "op1_token_planes": op1_token_planes,
+    "op4_rule_ledger": op4_rule_ledger,
+    "op10_merge_replay": op10_merge_replay,
 }
 
 ORACLE_SQL: dict[str, str] = {}
