@@ -20,6 +20,18 @@ _NEWLINES = re.compile("\n+")
 _LONGEST = 64
 
 
+#: One such character at the end of a piece is a token run of its own.
+_STOPS = frozenset(".,;:!?")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level models use for the UTF-8 bytes of characters below U+0250."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    letter = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return {k: "".join(letter[b] for b in chr(k).encode()) for k in range(128, 0x250)}
+
+
 def load(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
@@ -32,9 +44,11 @@ def load(path: str):
 class _Pieces:
     """Keeps up to ``limit`` pieces with the little-endian unsigned 32-bit bytes of their ids."""
 
-    def __init__(self, tokenizer, limit: int = 800_000):
+    def __init__(self, tokenizer, limit: int = 1_500_000):
         self.tokenizer, self.limit = tokenizer, limit
         self.known: dict[str, bytes] = {}
+        self.letters, self.model = _byte_letters(), tokenizer.model
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -59,6 +73,16 @@ class _Pieces:
         return out
 
 
+    def word(self, before: str, letters: str) -> bytes | None:
+        """Ids of a run of letters that the pre-tokenizer leaves whole, by the library's model; None if unsure."""
+        if not letters.isascii():
+            if max(letters) >= "\u0250":
+                return None
+            letters = letters.translate(self.letters)
+        ids = self.id_bytes
+        return b"".join([ids[t.id] for t in self.model.tokenize(before + letters)])
+
+
 class ByteLevelPieces(_Pieces):
     r"""For byte-level pre-tokenization by ``'s|...| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+``.
 
@@ -66,9 +90,10 @@ class ByteLevelPieces(_Pieces):
     a run inside the text; ``\1`` and newlines are the run that ends the text.
     """
 
-    def __init__(self, tokenizer, limit: int = 800_000):
+    def __init__(self, tokenizer, limit: int = 1_500_000):
         super().__init__(tokenizer, limit)
         self.newline = self.whole("\n")
+        self.stops = {c: self.whole(c) for c in _STOPS}
 
     @staticmethod
     def cut(text: str) -> list[str] | None:
@@ -97,7 +122,16 @@ class ByteLevelPieces(_Pieces):
             elif not p:
                 known[p] = self.whole(" ")
             else:
-                plain.append(p)
+                core, before = (p[1:], "") if p[0] == "\0" else (p, "\u0120")
+                base, stop = (core[:-1], self.stops[core[-1]]) if core[-1] in _STOPS else (core, b"")
+                ids = None
+                if base.isalpha():
+                    ids = known.get(p[:-1]) if stop else None
+                    ids = self.word(before, base) if ids is None else ids
+                if ids is None:
+                    plain.append(p)
+                else:
+                    known[p] = ids + stop
         mark = int.from_bytes(self.newline, "little")
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
@@ -120,8 +154,9 @@ class WordPieces(_Pieces):
     #: A separator whose first byte occurs in no piece that is learnt in bulk.
     MARK = "\u4e00"
 
-    def __init__(self, tokenizer, limit: int = 800_000):
+    def __init__(self, tokenizer, limit: int = 1_500_000):
         super().__init__(tokenizer, limit)
+        self.stops = {c: self.whole(c) for c in _STOPS}
         self.mark = tokenizer.encode(self.MARK, add_special_tokens=False).ids
 
     @staticmethod
@@ -132,6 +167,14 @@ class WordPieces(_Pieces):
         known, width = self.known, len(self.mark)
         plain = []
         for p in new:
+            base, stop = (p[:-1], self.stops[p[-1]]) if p[-1] in _STOPS else (p, b"")
+            lower = base.lower()
+            if lower.isalpha():
+                ids = known.get(base) if stop else None
+                ids = self.word("", lower) if ids is None else ids
+                if ids is not None:
+                    known[p] = ids + stop
+                    continue
             if p and max(p) < "\u0250":
                 plain.append(p)
             else:
