@@ -73,11 +73,9 @@ class _Pieces:
         return out
 
 
-    def word(self, before: str, letters: str) -> bytes | None:
-        """Ids of a run of letters that the pre-tokenizer leaves whole, by the library's model; None if unsure."""
+    def word(self, before: str, letters: str) -> bytes:
+        """Ids of a run of letters below U+0250, which the pre-tokenizer leaves whole, by the library's model."""
         if not letters.isascii():
-            if max(letters) >= "\u0250":
-                return None
             letters = letters.translate(self.letters)
         ids = self.id_bytes
         return b"".join([ids[t.id] for t in self.model.tokenize(before + letters)])
@@ -125,7 +123,7 @@ class ByteLevelPieces(_Pieces):
                 core, before = (p[1:], "") if p[0] == "\0" else (p, "\u0120")
                 base, stop = (core[:-1], self.stops[core[-1]]) if core[-1] in _STOPS else (core, b"")
                 ids = None
-                if base.isalpha():
+                if base.isalpha() and max(base) < "\u0250":
                     ids = known.get(p[:-1]) if stop else None
                     ids = self.word(before, base) if ids is None else ids
                 if ids is None:
@@ -169,7 +167,7 @@ class WordPieces(_Pieces):
         for p in new:
             base, stop = (p[:-1], self.stops[p[-1]]) if p[-1] in _STOPS else (p, b"")
             lower = base.lower()
-            if lower.isalpha():
+            if lower.isalpha() and max(lower) < "\u0250":
                 ids = known.get(base) if stop else None
                 ids = self.word("", lower) if ids is None else ids
                 if ids is not None:

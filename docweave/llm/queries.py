@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .grace_dedup import op7_grace_dedup
 from .merge_replay import op10_merge_replay
 from .rule_ledger import op4_rule_ledger
 from .token_planes import op1_token_planes
@@ -9,7 +10,16 @@ from .token_planes import op1_token_planes
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op4_rule_ledger": op4_rule_ledger,
+    "op7_grace_dedup": op7_grace_dedup,
     "op10_merge_replay": op10_merge_replay,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_grace_dedup": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents),
+        g AS (SELECT bare, count(*) AS group_size FROM t GROUP BY bare),
+        b AS (SELECT bare, doc_id AS keep_id FROM t QUALIFY row_number() OVER (PARTITION BY bare ORDER BY length(text) DESC, doc_id) = 1)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(bare) AS text_sha256
+        FROM t JOIN g USING (bare) JOIN b USING (bare)
+    """,
+}
