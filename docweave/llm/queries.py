@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from .grace_dedup import op7_grace_dedup
 from .merge_replay import op10_merge_replay
+from .packing import op2_best_two_fit
 from .rule_ledger import op4_rule_ledger
 from .token_planes import op1_token_planes
+from .url_vocabulary import op6_url_vocabulary
 
 QUERIES = {
     "op1_token_planes": op1_token_planes,
+    "op2_best_two_fit": op2_best_two_fit,
     "op4_rule_ledger": op4_rule_ledger,
+    "op6_url_vocabulary": op6_url_vocabulary,
     "op7_grace_dedup": op7_grace_dedup,
     "op10_merge_replay": op10_merge_replay,
 }
