@@ -8,6 +8,7 @@ from .packing import op2_best_two_fit
 from .rule_ledger import op4_rule_ledger
 from .token_planes import op1_token_planes
 from .url_vocabulary import op6_url_vocabulary
+from .warc_writer import op9_warc_shards
 
 QUERIES = {
     "op1_token_planes": op1_token_planes,
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_rule_ledger": op4_rule_ledger,
     "op6_url_vocabulary": op6_url_vocabulary,
     "op7_grace_dedup": op7_grace_dedup,
+    "op9_warc_shards": op9_warc_shards,
     "op10_merge_replay": op10_merge_replay,
 }
 
