@@ -6,6 +6,7 @@ from .grace_dedup import op7_grace_dedup
 from .merge_replay import op10_merge_replay
 from .packing import op2_best_two_fit
 from .rule_ledger import op4_rule_ledger
+from .secret_battery import op3_secret_battery
 from .token_planes import op1_token_planes
 from .url_vocabulary import op6_url_vocabulary
 from .warc_writer import op9_warc_shards
@@ -13,6 +14,7 @@ from .warc_writer import op9_warc_shards
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op2_best_two_fit": op2_best_two_fit,
+    "op3_secret_battery": op3_secret_battery,
     "op4_rule_ledger": op4_rule_ledger,
     "op6_url_vocabulary": op6_url_vocabulary,
     "op7_grace_dedup": op7_grace_dedup,
