@@ -5,6 +5,7 @@ from __future__ import annotations
 from .grace_dedup import op7_grace_dedup
 from .merge_replay import op10_merge_replay
 from .packing import op2_best_two_fit
+from .parity_join import op8_parity_join
 from .rule_ledger import op4_rule_ledger
 from .secret_battery import op3_secret_battery
 from .token_planes import op1_token_planes
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_rule_ledger": op4_rule_ledger,
     "op6_url_vocabulary": op6_url_vocabulary,
     "op7_grace_dedup": op7_grace_dedup,
+    "op8_parity_join": op8_parity_join,
     "op9_warc_shards": op9_warc_shards,
     "op10_merge_replay": op10_merge_replay,
 }
