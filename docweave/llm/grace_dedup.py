@@ -236,6 +236,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bound: int =
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows that an equal one outranks. Rows of one key are kept or dropped together."""
+    dropped = dedup(docs, key, text).groupBy(F.col("doc_id").alias("_dropped")).agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")).drop("kept")
+    return docs.join(dropped, docs[f"`{key}`"] == dropped["_dropped"], "left_anti")
+
+
 def op7_grace_dedup(spark, sf_dir: str) -> DataFrame:
     """Exact duplicates among all documents."""
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -377,6 +377,13 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, key: str = "doc_id", t
     )
 
 
+def keep_one(docs: DataFrame, threshold: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with only the row of the smallest key of each component; rows with a null key stay."""
+    found = near_duplicates(docs, threshold, key, text)
+    dropped = found.groupBy(F.col("doc_id").alias("_dropped")).agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("first")).where(~F.col("first")).drop("first")
+    return docs.join(dropped, docs[f"`{key}`"] == dropped["_dropped"], "left_anti")
+
+
 def op8_parity_join(spark, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents at a Jaccard similarity of 0.8."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

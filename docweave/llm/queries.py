@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .feistel_pii import op5_feistel_pii
 from .grace_dedup import op7_grace_dedup
 from .merge_replay import op10_merge_replay
 from .packing import op2_best_two_fit
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_best_two_fit": op2_best_two_fit,
     "op3_secret_battery": op3_secret_battery,
     "op4_rule_ledger": op4_rule_ledger,
+    "op5_feistel_pii": op5_feistel_pii,
     "op6_url_vocabulary": op6_url_vocabulary,
     "op7_grace_dedup": op7_grace_dedup,
     "op8_parity_join": op8_parity_join,

@@ -12,6 +12,7 @@ gives an empty ledger.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -162,6 +163,28 @@ def apply_rules(docs: DataFrame, policy: str = "strict-1", key: str = "doc_id",
     return ledger(measure(docs, key, text)).withColumn("base_failed", ~passes("base-1")).withColumn("kept", passes("base-1") & passes(policy))
 
 
+def keep_good(docs: DataFrame, policy: str = "strict-1", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass ``policy``, with all their columns, in one pass without an exchange."""
+    taken, prefix = {x.lower() for x in docs.columns}, "_m_"
+    while any(prefix + m in taken for m in MEASURES):
+        prefix = "_" + prefix
+    names = [prefix + m for m in MEASURES]
+    at = docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.LongType()) for n in names]])
+
+    def run(batches):
+        global _MEASURE
+        _MEASURE = _MEASURE or _Measurer()
+        for batch in c.slices(batches, 1024):
+            rows = [_MEASURE(t or "") for t in batch.column(at).to_pylist()]
+            columns = list(zip(*rows)) or [[]] * len(MEASURES)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.int64()) for x in columns]], [*batch.schema.names, *names])
+
+    measured = docs.mapInArrow(run, schema)
+    fails = [f"({re.sub(r'\b(' + '|'.join(MEASURES) + r')\b', lambda m: '`' + prefix + m[0] + '`', r.fails)})" for r in RULES if (POLICIES[policy] | POLICIES["base-1"]) & BIT[r.name]]
+    return measured.where("NOT (" + " OR ".join(fails) + ")").drop(*names)
+
+
 def op4_rule_ledger(spark, sf_dir: str) -> DataFrame:
     """The ledger of all documents under the strict policy."""
     book = apply_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
