@@ -140,6 +140,14 @@ class MergeReplay:
             else:
                 flag[at] = False
             gone = after[at]
+            # Where occurrences touch, the rule looks at the first one's product before the second is merged.
+            flag[at] = True
+            touch = after[gone]
+            touch = touch[flag[touch]]
+            flag[at] = False
+            if len(touch):
+                early = self.rank_of(np.full(len(touch), r, np.int32), symbol[touch])
+                odd.update(np.searchsorted(ends, touch[early < r], side="right").tolist())
             symbol[at] = r
             alive[gone] = False
             rank[gone] = NONE
