@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import rule_ledger, url_vocabulary
 from .feistel_pii import op5_feistel_pii
 from .grace_dedup import op7_grace_dedup
 from .merge_replay import op10_merge_replay
@@ -26,7 +27,51 @@ QUERIES = {
     "op10_merge_replay": op10_merge_replay,
 }
 
+_WORDS = r"[^\x20\x09-\x0D]+"
+_EDGE = r"""[.,;:!?"''()\[\]]"""
+
+
+def _rules_sql() -> str:
+    return " + ".join(f"CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END" for i, r in enumerate(rule_ledger.RULES))
+
+
+def _rule_sql(n: int = 0) -> str:
+    """The longest fitting rule's text, or its verdict, as nested conditions."""
+    whens = []
+    for r in sorted(url_vocabulary.RULES, key=lambda r: -len(r.text)):
+        whens.append(f"WHEN (host = '{r.host}' OR suffix(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{(r.text, r.verdict)[n]}'")
+    return f"CASE {' '.join(whens)} END"
+
+
+def _hits_sql(terms) -> str:
+    names = ", ".join(f"'{t}'" for t in terms)
+    return rf"len([x FOR x IN [{names}] IF regexp_matches(low, '(^|[^\p{{L}}\p{{N}}])' || x || '($|[^\p{{L}}\p{{N}}])')])"
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_rule_ledger": rf"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+        grams AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t)),
+        twice AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+        rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(8) r(k) GROUP BY doc_id),
+        l AS (SELECT *, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '{_WORDS}')] AS ls FROM t),
+        m AS (
+            SELECT l.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+                   coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines, len([x FOR x IN w IF regexp_matches(regexp_replace(x, '^{_EDGE}+|{_EDGE}+$', '', 'g'), '^\p{{L}}+$')]) AS n_alpha_words,
+                   len([i FOR i IN range(2, len(w) + 1) IF w[i] = w[i - 1]]) AS n_echo_words
+            FROM l LEFT JOIN rep USING (doc_id)
+        ),
+        f AS (SELECT *, ({_rules_sql()})::BIGINT AS failed_bits FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, failed_bits = 0 AS kept, failed_bits FROM f
+    """,
+    "op6_url_vocabulary": rf"""
+        WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+                          CASE WHEN contains(url, '://') THEN translate(url, '{_UPPER}', '{_LOWER}') ELSE '' END AS low FROM pages),
+        h AS (SELECT *, {_rule_sql()} AS rule, {_rule_sql(1)} AS told, {_hits_sql(url_vocabulary.STRICT)} AS s, {_hits_sql(url_vocabulary.SOFT)} AS w FROM u)
+        SELECT page_id, host, path, rule, coalesce(told, CASE WHEN s >= 1 OR w >= 2 THEN 'block' ELSE 'allow' END) AS verdict FROM h
+    """,
     "op7_grace_dedup": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents),
         g AS (SELECT bare, count(*) AS group_size FROM t GROUP BY bare),
@@ -34,4 +79,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(bare) AS text_sha256
         FROM t JOIN g USING (bare) JOIN b USING (bare)
     """,
+    "op8_parity_join": rf"""
+        WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORDS}') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END AS g FROM t),
+        x AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM c WHERE 100 * k >= 80 * (na + nb - k)),
+        r AS (SELECT doc_id AS d, doc_id AS o FROM documents UNION SELECT e.b, r.o FROM r JOIN e ON e.a = r.d)
+        SELECT s.doc_id, len(s.g) AS n_shingles, (SELECT count(*) FROM e WHERE e.a = s.doc_id) AS n_similar, (SELECT min(o) FROM r WHERE r.d = s.doc_id) AS component_id FROM s
+    """,
+    "op9_warc_shards": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+        v AS (SELECT *, [('0x' || substr(x, 5 * i + 1, 5))::INT FOR i IN range(8)] AS q, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+        SELECT page_id, strlen(h) AS payload_bytes, array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> k) & 31)::INT + 1, 1) FOR k IN [15, 10, 5, 0]], '') FOR n IN q], '') AS payload_digest,
+               CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM v
+    """,
 }

@@ -116,4 +116,4 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES,
 
 def op6_url_vocabulary(spark, sf_dir: str) -> DataFrame:
     """Verdicts on all pages' URLs."""
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
