@@ -12,11 +12,11 @@ difference: at 80, ``|A ^ B| <= (a + b) / 9``.
    emits keys for the next band, where its larger partners are.
 2. *Join.* Keys meet by one exchange; keys of a single class of equal sets vanish there. The others meet again with
    a dense 512-bit parity sketch per set: pairs whose sizes or Hamming distance exclude a link are dropped. A
-   pair that shares several keys is reported under the smallest key that both list among their eight smallest,
+   pair that shares several keys is reported under the smallest key that both list among their four smallest,
    or else by each and made distinct. Groups above ``TILE`` sets are cut into tiles, and pairs of tiles are
    separate work, so no group meets in one task, however large.
-3. *Verify.* Surviving pairs are compared exactly on their shingles, tile by tile: each set is computed again from
-   its text and sent once per tile pair.
+3. *Verify.* Surviving pairs are compared exactly on their shingles, tile by tile: each text in question is sent once
+   per tile pair, and its set computed again there; no other text is exchanged.
 
 Copies never multiply: sets that are equal form a class, with one line per class and input split in step 1.
 
@@ -39,9 +39,10 @@ from .components import components
 
 WIDTH = 5
 SKETCH_BITS = 512
-SMALLEST = 8  # keys of a set that are listed for choosing a pair's reporter
+SMALLEST = 4  # keys of a set that are listed for choosing a pair's reporter
 TILE = 256
-VERIFY_TILE = 128
+VERIFY_SHINGLES = 1 << 20  # of a tile, about; 8 MB
+MOST_BITS = 1 << 27
 SALTS = 64
 NO_KEY = (1 << 63) - 1
 _PAD = np.uint64((1 << 64) - 1)
@@ -269,35 +270,52 @@ def candidate_pairs(shared: DataFrame, sketched: DataFrame, threshold: int, part
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def chosen_texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, text) of the documents in ``wanted`` (doc_id), and of a few others.
+
+    Only these texts are exchanged afterwards: a bit set of the wanted keys' hashes, of at most ``MOST_BITS`` bits
+    (16 MB) whatever the input, goes to the tasks, and texts whose bit is clear stop there. The caller's join drops the others.
+    """
+    bits = 1 << 16
+    n = wanted.count()
+    while bits < 32 * n and bits < MOST_BITS:
+        bits *= 2
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    words = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()  # at most bits / 64 rows
+    table = np.zeros(bits // 64, np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    def choose(batches):
+        table = shared.value
+        for batch in batches:
+            at = batch.column("p").to_numpy().astype(np.uint64)
+            hit = np.flatnonzero((table[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1))
+            if len(hit):
+                some = batch.take(pa.array(hit))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text")], ["doc_id", "text"])
+
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("p", place)
+    return rows.mapInArrow(choose, "doc_id long, text string")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, representatives: DataFrame, threshold: int, key: str, text: str, partitions: int) -> DataFrame:
-    """Step 3: the pairs whose sets link. ``representatives``: (cls, doc_id) for every class."""
+    """Step 3: the pairs whose sets link. ``representatives``: (cls, doc_id, n) for every class."""
     ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     nodes = ends.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("cls"), F.least("a", "low").alias("label"))
-    # Sets that share their smallest neighbour lie in the same tiles; a label of many sets gets many tiles.
-    sizes = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-    spread = F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / VERIFY_TILE).cast("long"))
-    nodes = c.staged(nodes.join(sizes, "label").select("cls", F.xxhash64("label", spread).alias("tile")), "parity-nodes")
-    placed = pairs.join(nodes.withColumnsRenamed({"cls": "a", "tile": "ta"}), "a").join(nodes.withColumnsRenamed({"cls": "b", "tile": "tb"}), "b")
+    nodes = nodes.join(representatives, "cls")
+    # Sets that share their smallest neighbour lie in the same tile; a label with many shingles gets many tiles.
+    sizes = nodes.groupBy("label").agg(F.sum("n").alias("shingles"))
+    spread = F.pmod(F.xxhash64("cls"), F.ceil(F.col("shingles") / VERIFY_SHINGLES).cast("long"))
+    nodes = c.staged(nodes.join(sizes, "label").select("cls", "doc_id", F.xxhash64("label", spread).alias("tile")), "parity-nodes")
+    tiles = nodes.select("cls", "tile")
+    placed = pairs.join(tiles.withColumnsRenamed({"cls": "a", "tile": "ta"}), "a").join(tiles.withColumnsRenamed({"cls": "b", "tile": "tb"}), "b")
     placed = c.staged(placed.select("a", "b", F.xxhash64(F.least("ta", "tb"), F.greatest("ta", "tb")).alias("task")), "parity-pairs")
 
-    wanted = representatives.join(nodes.select("cls"), "cls", "left_semi").select(F.col("cls").alias("want"), F.col("doc_id").alias("_id"))
-    rows = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    rows = rows.join(wanted, F.coalesce("_key", F.lit(NO_KEY)) == F.col("_id")).select("want", "_text")
-
-    def compute(batches):
-        for batch in c.slices(batches):
-            out = []
-            for want, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = shingles(t)
-                if class_of(h) == want:  # else another row with the same key
-                    out.append((want, h.tobytes()))
-            cls, sets = zip(*out) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], ["cls", "set"])
-
-    sets = rows.mapInArrow(compute, "cls long, set binary")
-    members = placed.select("task", F.explode(F.array("a", "b")).alias("cls")).distinct()
-    sent = members.join(sets, "cls").select("task", F.lit(0).alias("kind"), F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "set")
-    asked = placed.select("task", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("set"))
+    members = placed.select("task", F.explode(F.array("a", "b")).alias("cls")).distinct().join(nodes.select("cls", "doc_id"), "cls")
+    texts = chosen_texts(docs, nodes.select("doc_id"), key, text)
+    sent = members.join(texts, "doc_id").select("task", F.lit(0).alias("kind"), F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    asked = placed.select("task", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text"))
     work = sent.unionByName(asked).repartition(partitions, "task").sortWithinPartitions("task", "kind")
 
     def check(batches):
@@ -318,8 +336,8 @@ def verified(pairs: DataFrame, docs: DataFrame, representatives: DataFrame, thre
                     held, asked_pairs, current = {}, [], task
                 if kind:
                     asked_pairs.append((a, b))
-                else:
-                    held[a] = np.frombuffer(data, np.uint64)
+                elif class_of(h := shingles(data)) == a:  # else another row with the same key
+                    held[a] = h
         if asked_pairs:
             yield from done()
 
@@ -329,16 +347,27 @@ def verified(pairs: DataFrame, docs: DataFrame, representatives: DataFrame, thre
 def linked(sets: dict[int, np.ndarray], pairs: list[tuple[int, int]], threshold: int) -> list[tuple[int, int]]:
     """The pairs whose sets reach the threshold; one matrix product where many pairs meet few sets."""
     names = list(sets)
-    everything, place = np.unique(np.concatenate([sets[k] for k in names]), return_inverse=True)
-    if len(pairs) > 2 * len(names) and len(names) * len(everything) <= 48 << 20:
-        ends = np.cumsum([len(sets[k]) for k in names])
-        x = np.zeros((len(names), len(everything)), np.float32)
-        x[np.repeat(np.arange(len(names)), np.diff(np.concatenate(([0], ends)))), place] = 1
-        common = x @ x.T
-        at = {k: i for i, k in enumerate(names)}
-        common_of = lambda a, b: int(common[at[a], at[b]])
-    else:
+    at = {k: i for i, k in enumerate(names)}
+    if len(pairs) <= 2 * len(names):
         common_of = lambda a, b: len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+    else:
+        # A product of 0/1 matrices, a slice of the shingles at a time; those of one set alone cannot be shared.
+        everything, place, count = np.unique(np.concatenate([sets[k] for k in names]), return_inverse=True, return_counts=True)
+        shared = count > 1
+        column = (np.cumsum(shared) - 1)[place]
+        row = np.repeat(np.arange(len(names)), [len(sets[k]) for k in names])
+        use = shared[place]
+        row, column = row[use], column[use]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        width = max(1, (4 << 20) // len(names))
+        common = np.zeros((len(names), len(names)), np.float32)
+        for low in range(0, int(shared.sum()), width):
+            a, b = np.searchsorted(column, (low, low + width))
+            x = np.zeros((len(names), width), np.float32)
+            x[row[a:b], column[a:b] - low] = 1
+            common += x @ x.T
+        common_of = lambda a, b: int(common[at[a], at[b]])
     good = []
     for a, b in pairs:
         shared = common_of(a, b)
@@ -358,8 +387,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, key: str = "doc_id", t
     id_ = F.coalesce("doc_id", F.lit(NO_KEY))
     # Counted per salt first; both the classes and the way back to the rows come from this.
     local = c.staged(rows.where(F.col("n") > 0).groupBy("cls", "n", "salt").agg(F.count(F.lit(1)).alias("rows"), F.min(id_).alias("low")), "parity-classes")
-    classes = local.groupBy("cls").agg(F.sum("rows").alias("rows"), F.min("low").alias("doc_id"))
-    links = c.staged(verified(pairs, docs, classes.select("cls", "doc_id"), threshold, key, text, partitions), "parity-links")
+    classes = local.groupBy("cls").agg(F.sum("rows").alias("rows"), F.min("low").alias("doc_id"), F.max("n").alias("n"))
+    links = c.staged(verified(pairs, docs, classes.select("cls", "doc_id", "n"), threshold, key, text, partitions), "parity-links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degrees = both.join(classes.select(F.col("cls").alias("b"), "rows"), "b").groupBy("a").agg(F.sum("rows").alias("others")).withColumnRenamed("a", "cls")
     named = links.join(classes.select(F.col("cls").alias("a"), F.col("doc_id").alias("u")), "a").join(classes.select(F.col("cls").alias("b"), F.col("doc_id").alias("v")), "b").select("u", "v")
@@ -386,4 +415,4 @@ def keep_one(docs: DataFrame, threshold: int = 80, key: str = "doc_id", text: st
 
 def op8_parity_join(spark, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents at a Jaccard similarity of 0.8."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("class_id")
