@@ -16,7 +16,10 @@ MANIFEST = "manifest.json"
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """path, modificationTime, length and content of every file below ``path`` (or of the one file)."""
+    """path, modificationTime, length and content of every file below ``path`` (or of the one file).
+
+    Names that start with a dot or an underscore are not listed; Spark takes them for its own.
+    """
     return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
 
 
@@ -88,7 +91,7 @@ def ingest(spark: SparkSession, folder: str, known: DataFrame | None = None, inc
     if limit is not None:
         names = files.select("path").orderBy("path").limit(limit)
         files = files.join(names, "path", "left_semi")
-    head: Column = F.when(file_suffix(F.col("path")).isin(".log", ".txt"), F.decode(F.substring("content", 1, 65536), F.lit("ISO-8859-1")))
+    head: Column = F.when(file_suffix(F.col("path")).isin(".log", ".txt"), F.decode(F.substring("content", 1, 65536), "ISO-8859-1"))
     files = files.where(~skip_file(F.col("path"), F.coalesce(head, F.lit(""))))
     files = files.withColumn("sha1", F.sha1("content"))
     first = first_per_key(files.select("sha1", "path"), "sha1", "path")
