@@ -55,16 +55,16 @@ def has_repeated_unit(text: Column, times: int = 11, longest: int = 10) -> Colum
     return text.rlike(rf"(?d)(.{{1,{longest}}})\1{{{times - 1},}}")
 
 
-def text_is_garbage(text: Column, least: int = 100) -> Column:
-    """Too short, one character over and over, or hardly a letter in it."""
+def text_is_garbage(text: Column, least: int = 100, long_run: Column | None = None) -> Column:
+    """Too short, one character over and over, or hardly a letter in it. ``long_run``: the flag, where it is known."""
     t = F.coalesce(text, F.lit(""))
-    return (F.length(t) < least) | (F.length(t) == 0) | has_long_run(t) | (alnum_ratio(t) < 0.15)
+    return (F.length(t) < least) | (F.length(t) == 0) | (has_long_run(t) if long_run is None else long_run) | (alnum_ratio(t) < 0.15)
 
 
-def content_is_garbage(text: Column) -> Column:
-    """Too short once trimmed, a repeated unit, or more than a tenth control characters."""
+def content_is_garbage(text: Column, repeated_unit: Column | None = None) -> Column:
+    """Too short once trimmed, a repeated unit, or more than a tenth control characters. ``repeated_unit``: the flag, where it is known."""
     t = F.coalesce(text, F.lit(""))
-    return (F.length(strip(t)) < 50) | has_repeated_unit(t) | (control_ratio(t) > 0.1)
+    return (F.length(strip(t)) < 50) | (has_repeated_unit(t) if repeated_unit is None else repeated_unit) | (control_ratio(t) > 0.1)
 
 
 #: Families of wrongly decoded UTF-8, counted each by itself (some overlap on purpose).

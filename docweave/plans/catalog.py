@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import answers, codecs, text as tx
 from ..operators import assembly as asm, enrichment as enr, search, selection as sel, storage as st
 from ..sources import export as ex, extract, plugins
+from ..sources.tables import read_table, spread
 from . import sql as user_sql
 from .schema import compile_schema
 
@@ -33,7 +34,12 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents", *columns: str) -> DataFrame:
+    """A table whose texts take much work per row."""
+    return spread(read_table(spark, sf_dir, name).select(*columns or ("doc_id", "text")))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +71,7 @@ _LANGS = ["de", "en", "es", "fr"]
 
 
 def _flagship_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("content", tx.clean_lines(F.col("text")))
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("content", tx.clean_lines(F.col("text")))
     return sel.first_per_key(sel.add_sha1(docs, "content").select("sha1", "doc_id", "lang", F.substring("content", 1, 500).alias("content")), "sha1", "doc_id")
 
 
@@ -132,7 +138,7 @@ _CLEAN = _TRIM.format(rf"array_to_string([{_SQUEEZE} FOR x IN [{_TRIM.format('y'
 
 @query(f"SELECT doc_id, {_CLEAN} AS content FROM (SELECT doc_id, replace(text, '. ', '. =====' || chr(10) || '*** ' || chr(10) || ' ') AS text FROM documents)")
 def clean_text(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(". =====\n*** \n ")).alias("text"))
+    rows = texts(spark, sf_dir).select("doc_id", F.replace("text", F.lit(". "), F.lit(". =====\n*** \n ")).alias("text"))
     return rows.select("doc_id", tx.clean_lines(F.col("text")).alias("content"))
 
 
@@ -140,19 +146,20 @@ def clean_text(spark, sf_dir):
     r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, '. ', ' ||||  ____ ..... '), '\s+', ' ', 'g'), '\|{2,}', '', 'g'), '_{3,}', '', 'g'), '\.{4,}', '...', 'g'), '^\s+|\s+$', '', 'g') AS content FROM documents"
 )
 def clean_ocr(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.clean_ocr(F.replace("text", F.lit(". "), F.lit(" ||||  ____ ..... "))).alias("content"))
+    return texts(spark, sf_dir).select("doc_id", tx.clean_ocr(F.replace("text", F.lit(". "), F.lit(" ||||  ____ ..... "))).alias("content"))
 
 
 @query(r"SELECT doc_id, length(text) < 100 AS short, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) < 0.15 * length(text) AS few_letters, length(regexp_replace(text, '[^\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) > 0.1 * length(text) AS many_controls FROM documents")
 def text_quality_flags(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", (F.length(t) < 100).alias("short"), (tx.alnum_ratio(t) < 0.15).alias("few_letters"), (tx.control_ratio(t) > 0.1).alias("many_controls"))
+    return texts(spark, sf_dir).select("doc_id", (F.length(t) < 100).alias("short"), (tx.alnum_ratio(t) < 0.15).alias("few_letters"), (tx.control_ratio(t) > 0.1).alias("many_controls"))
 
 
 @query()
 def text_repetition_flags(spark, sf_dir):
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", tx.has_long_run(t).alias("long_run"), tx.has_repeated_unit(t).alias("repeated_unit"), tx.text_is_garbage(t).alias("text_garbage"), tx.content_is_garbage(t).alias("content_garbage"))
+    t, run, unit = F.col("text"), F.col("long_run"), F.col("repeated_unit")
+    flags = texts(spark, sf_dir).select("doc_id", "text", tx.has_long_run(t).alias("long_run"), tx.has_repeated_unit(t).alias("repeated_unit"))
+    return flags.select("doc_id", "long_run", "repeated_unit", tx.text_is_garbage(t, long_run=run).alias("text_garbage"), tx.content_is_garbage(t, repeated_unit=unit).alias("content_garbage"))
 
 
 @query("SELECT doc_id, replace(replace(text, chr(10), chr(12)), chr(12), chr(10) || chr(10) || '--- PAGE BREAK ---' || chr(10) || chr(10)) AS content FROM documents")
@@ -172,13 +179,13 @@ def _broken() -> Column:
     """
 )
 def mojibake_score(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", _broken().alias("x"))
+    rows = texts(spark, sf_dir).select("doc_id", _broken().alias("x"))
     return rows.select("doc_id", tx.mojibake_count(F.col("x")).alias("n_broken"), tx.is_mojibake(F.col("x")).alias("broken"))
 
 
 @query()
 def mojibake_fix(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", codecs.fix_mojibake(_broken()).alias("text"))
+    return texts(spark, sf_dir).select("doc_id", codecs.fix_mojibake(_broken()).alias("text"))
 
 
 @query("SELECT doc_id, text AS text FROM documents WHERE NOT regexp_matches(text, '[ÃÂâ]')")
@@ -192,7 +199,7 @@ def mixed_encoding_fix(spark, sf_dir):
 
 @query("SELECT doc_id, doc_id % 3 = 0 AS hanzi, CASE doc_id % 2 WHEN 0 THEN doc_id % 3 = 0 ELSE doc_id % 3 <> 0 END AS fits FROM documents")
 def validate_language(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("text"), F.when(F.col("doc_id") % 3 == 0, "器官捐献").otherwise(" “ok” – €")).alias("t"))
+    rows = texts(spark, sf_dir).select("doc_id", F.concat(F.col("text"), F.when(F.col("doc_id") % 3 == 0, "器官捐献").otherwise(" “ok” – €")).alias("t"))
     return rows.select("doc_id", tx.contains_hanzi(F.col("t")).alias("hanzi"), F.when(F.col("doc_id") % 2 == 0, tx.language_fits(F.col("t"), "zh")).otherwise(tx.language_fits(F.col("t"), "en")).alias("fits"))
 
 
@@ -215,17 +222,17 @@ def _html(f: Callable[[str], str]) -> Callable[[Column], Column]:
 
 @query("SELECT page_id, replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&') AS title FROM pages")
 def html_title(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", _html(extract.html_title)(F.col("html")).alias("title"))
+    return texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", _html(extract.html_title)(F.col("html")).alias("title"))
 
 
 @query()
 def html_default(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", _html(extract.html_text)(F.col("html")).alias("content"))
+    return texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", _html(extract.html_text)(F.col("html")).alias("content"))
 
 
 @query()
 def html_smart(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", _html(extract.html_smart)(F.col("html")).alias("content"))
+    return texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", _html(extract.html_smart)(F.col("html")).alias("content"))
 
 
 @query(
@@ -484,7 +491,7 @@ def _reversed(lines: list[str]) -> list[str]:
     """
 )
 def translate_lines(spark, sf_dir):
-    out = enr.translate_lines(table(spark, sf_dir, "documents"), "doc_id", "text", _reversed)
+    out = enr.translate_lines(texts(spark, sf_dir), "doc_id", "text", _reversed)
     values = F.transform(F.array_sort(F.transform(F.map_entries(F.from_json("lines", "map<string,string>")), lambda e: F.struct(e["key"].cast("int").alias("i"), e["value"].alias("v")))), lambda e: e["v"])
     return out.select("doc_id", F.size(values).cast("long").alias("n_lines"), F.md5(F.array_join(values, "\n").cast("binary")).alias("digest"))
 
@@ -565,7 +572,7 @@ def literature_items(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE list_contains(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), 'the') AND list_contains(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), 'of')")
 def fts_search(spark, sf_dir):
-    return search.search_all(table(spark, sf_dir, "documents"), ["The", "of"], ["text"]).select("doc_id")
+    return search.search_all(texts(spark, sf_dir), ["The", "of"], ["text"]).select("doc_id")
 
 
 @query(
@@ -576,7 +583,7 @@ def fts_search(spark, sf_dir):
     """
 )
 def fts_bm25(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     n, mean = docs.agg(F.count(F.lit(1)), F.avg(F.size(search.tokens(F.col("text"))))).first()
     scored = search.bm25(search.postings(docs, "doc_id", ["text"]), "doc_id", ["password", "license", "queue"], n, mean or 1.0)
     return scored.select("doc_id", F.round("score", 6).alias("score"))
