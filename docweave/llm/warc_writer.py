@@ -128,33 +128,40 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
     body = F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("n", F.octet_length("payload").cast("long")).withColumn("salt", F.pmod(F.xxhash64("key", "url"), F.lit(SALTS)).cast("int"))
-    found = originals(rows.select("key", "digest", "n", "salt"), least)
-    told = rows.join(found, ["digest", "salt"], "left").withColumn("original", F.when(F.col("original") != F.coalesce("key", F.lit(-(1 << 63))), F.col("original")))
-    # A revisit's payload is not needed any more.
-    told = told.select("key", "url", F.when(F.col("original").isNull(), F.col("payload")).alias("payload"), "digest", "n", "original")
-    told = told.repartitionByRange(c.parts_for(pages), "key", "url", "digest").sortWithinPartitions("key", "url", "digest")
+    small = rows.select("key", "url", "digest", "n", "salt")
+    found = originals(small, least)
+    revisits = small.join(found, ["digest", "salt"]).where(F.col("original") != F.coalesce("key", F.lit(-(1 << 63)))).groupBy("key", "url", "digest").agg(F.first("original").alias("original"))
+    # Payloads are exchanged once, by the sort. What makes a row a revisit comes as a row of its own just before it.
+    told = revisits.select("key", "url", F.lit(None).cast("binary").alias("payload"), "digest", F.lit(None).cast("long").alias("n"), "original")
+    work = rows.select("key", "url", "payload", "digest", "n", F.lit(None).cast("long").alias("original")).unionByName(told)
+    work = work.repartitionByRange(c.parts_for(pages), "key", "url", "digest").sortWithinPartitions("key", "url", "digest", F.col("n").asc_nulls_first())
     schema = pa.schema([("file", pa.string()), ("part", pa.int32()), ("roll", pa.int32()), ("n_records", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string())])
 
     def write(batches):
         fs, path = c.filesystem(folder)
         fs.create_dir(path, recursive=True)
         part, roll, out = TaskContext.get().partitionId(), 0, None
+        revisit: tuple = ()
 
         def done():
             return pa.RecordBatch.from_pylist([{"file": f"{part:06d}-{roll:05d}.warc.gz", "part": part, "roll": roll, **out.close()}], schema=schema)
 
         for batch in c.slices(batches):
             for k, u, p, d, n, original in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if n is None:
+                    revisit = (k, u, d, original)
+                    continue
+                original = revisit[3] if revisit[:3] == (k, u, d) else None
                 if out is None:
                     out = WarcFile(fs, path, f"{part:06d}-{roll:05d}.warc.gz")
-                out.add(build(k, u, p or b"", base64.b32encode(d).decode(), original, n))
+                out.add(build(k, u, p, base64.b32encode(d).decode(), original, n))
                 if out.size >= roll_bytes:
                     yield done()
                     out, roll = None, roll + 1
         if out is not None:
             yield done()
 
-    told.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/_manifest")
+    work.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/_manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
 
 
