@@ -49,6 +49,11 @@ def parts_for(df: DataFrame, target: int = 128 << 20) -> int:
     return max(conf, -(-plan_bytes(df) // target))
 
 
+def spread(df: DataFrame, below: int = 64 << 20) -> DataFrame:
+    """``df`` over all cores, if it is small: a single row group would be one task's work. Larger inputs are left alone."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if 0 < plan_bytes(df) < below else df
+
+
 def filesystem(uri: str):
     """A pyarrow file system for ``uri`` and the path in it: local, HDFS, S3 and others alike."""
     from pyarrow import fs

@@ -242,7 +242,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", restore: bool
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(fields))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.int64()))], [*[f.name for f in fields], extra])
 
-    done = ordered.mapInArrow(run, schema)
+    done = c.spread(ordered).mapInArrow(run, schema)
     return done if counts else done.drop(extra)
 
 

@@ -263,7 +263,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "do
         if keys:
             yield done(keys, texts)
 
-    return rows.mapInArrow(run, result)
+    return c.spread(rows).mapInArrow(run, result)
 
 
 def op10_merge_replay(spark, sf_dir: str) -> DataFrame:

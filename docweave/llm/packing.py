@@ -36,6 +36,7 @@ _ENCODER: tuple | None = None
 def cut(docs: DataFrame, tokenizer_path: str, size: int, end_id: int | None, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode every text once and cut it; a row per piece, with its ids if ``with_ids``."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = c.spread(rows)
     fields = [(f.name, pa.int32() if f.name == "piece" else pa.int64()) for f in PIECES.fields] + [("ids", pa.list_(pa.int32()))] * with_ids
     schema = pa.schema(fields)
     result = T.StructType([*PIECES.fields, *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids])

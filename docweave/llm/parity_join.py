@@ -167,7 +167,7 @@ def sketch(docs: DataFrame, threshold: int, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, SKETCHED)
+    return c.spread(rows).mapInArrow(run, SKETCHED)
 
 
 def shared_keys(sketched: DataFrame, partitions: int) -> DataFrame:

@@ -124,7 +124,8 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             columns = list(zip(*rows)) or [[]] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in columns]], schema=schema)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).mapInArrow(run, LEDGER)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return c.spread(rows).mapInArrow(run, LEDGER)
 
 
 def ledger(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -180,7 +181,7 @@ def keep_good(docs: DataFrame, policy: str = "strict-1", text: str = "text") ->
             columns = list(zip(*rows)) or [[]] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.int64()) for x in columns]], [*batch.schema.names, *names])
 
-    measured = docs.mapInArrow(run, schema)
+    measured = c.spread(docs).mapInArrow(run, schema)
     fails = [f"({re.sub(r'\b(' + '|'.join(MEASURES) + r')\b', lambda m: '`' + prefix + m[0] + '`', r.fails)})" for r in RULES if (POLICIES[policy] | POLICIES["base-1"]) & BIT[r.name]]
     return measured.where("NOT (" + " OR ".join(fails) + ")").drop(*names)
 

@@ -147,7 +147,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, SCAN)
+    return c.spread(rows).mapInArrow(run, SCAN)
 
 
 def cuts(histogram: dict[int, list[int]], alpha: float) -> dict[int, int]:
