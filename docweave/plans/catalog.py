@@ -611,6 +611,57 @@ def events_activity(spark, sf_dir):
     return activity(table(spark, sf_dir, "events"))
 
 
+# Further ingest and projection operators.
+
+
+@query("SELECT page_id, page_id % 5 = 0 AND length(html) > 50 AS overridden, CASE WHEN page_id % 5 = 0 AND length(html) > 50 THEN sha1('ocr ' || html) ELSE sha1(url) END AS digest FROM pages")
+def manual_overrides(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    name = F.concat(F.lit("/d/"), F.col("page_id").cast("string"))
+    docs = pages.select(F.concat(name, F.lit(".pdf")).alias("path"), F.col("url").alias("text"))
+    side = pages.where("page_id % 5 = 0").select(F.concat(name, F.lit("--ocr.txt")).alias("path"), F.concat(F.lit("ocr "), "html").alias("text"))
+    done = sel.manual_overrides(docs.unionByName(side))
+    return done.select(tx.file_stem(F.col("path")).cast("long").alias("page_id"), "overridden", F.sha1(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id, text[6:20] AS middle, right(text, 10) AS tail FROM documents")
+def slice_columns(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", sel.sliced(t, 5, 20).alias("middle"), sel.sliced(t, -10, None).alias("tail"))
+
+
+@query("SELECT c_custkey, c_name AS value, ['seg_ment_x'] AS keys FROM customer")
+def metadata_normalise(spark, sf_dir):
+    m = F.create_map(F.lit("Seg-Ment X"), F.concat(F.lit("  "), "c_name", F.lit(" ")), F.lit("blank"), F.lit(" "), F.lit("gone"), F.lit(None).cast("string"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", tx.normalise_metadata(m).alias("m"))
+    return rows.select("c_custkey", F.col("m")["seg_ment_x"].alias("value"), F.map_keys("m").alias("keys"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'given' WHEN length(t) BETWEEN 50 AND 2000 THEN t END AS abstract FROM (SELECT doc_id, trim(regexp_replace(left(text, 180), '\\s+', ' ', 'g')) AS t FROM documents)")
+def abstract_extract(spark, sf_dir):
+    body = F.trim(F.regexp_replace(F.substring("text", 1, 180), r"\s+", " "))
+    meta = F.struct(F.when(F.col("doc_id") % 2 == 0, "given").alias("abstract"))
+    text = F.concat(F.lit("Some title\n\nAbstract\n"), body, F.lit("\n\nMain part"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.abstract_of(meta, text).alias("abstract"))
+
+
+@query("SELECT s.s_suppkey, s.s_name AS doi, CASE WHEN s.s_suppkey % 3 = 0 THEN n.n_regionkey END AS score FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey")
+def doi_join(spark, sf_dir):
+    suppliers, nation = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    cache = suppliers.select("s_suppkey", F.col("s_name").alias("doi"), F.lit("pdf").alias("file_type"))
+    projects = suppliers.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("doi"), "n_regionkey")
+    validation = projects.join(suppliers.where("s_suppkey % 3 = 0").select(F.col("s_name").alias("doi")), "doi").select(F.concat("doi", F.lit("#pdf")).alias("validation_key"), F.col("n_regionkey").alias("score"))
+    return plugins.doi_files(cache, projects.select("doi"), validation).select("s_suppkey", "doi", "score")
+
+
+@query("SELECT doc_id, text, source = 'src0' AS is_new FROM (SELECT doc_id, CASE WHEN source = 'src0' THEN lang ELSE source END AS text, source FROM documents)")
+def documents_insert(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    old = docs.where("source <> 'src0'").select("doc_id", F.col("source").alias("text"), F.lit(False).alias("is_new"))
+    new = docs.select("doc_id", F.col("lang").alias("text"), F.lit(True).alias("is_new"))
+    return st.insert_new(old, new, "doc_id")
+
+
 # SQL of users, passed through.
 
 _SQL = {
