@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,7 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not there:
         there = "file://" + tempfile.mkdtemp(prefix="docweave-")
         spark.conf.set(SETTING, there)
-    return there.rstrip("/")
+    if ":" not in there.split("/")[0]:  # no scheme: the cluster's default file system
+        path = spark._jvm.org.apache.hadoop.fs.Path(there)
+        there = str(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path))
+    # pyarrow wants file:///x where Hadoop says file:/x
+    return re.sub(r"^file:/(?!/)", "file:///", there).rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:
