@@ -70,23 +70,23 @@ def content_is_garbage(text: Column, repeated_unit: Column | None = None) -> Col
 #: Families of wrongly decoded UTF-8, counted each by itself (some overlap on purpose).
 _LEAD, _LOW = "Ã", "Â"
 _MOJIBAKE = [
-    _LEAD + "[¡-¿]",
+    *["Ã‚Â" + x for x in "§©®"],
     _LOW + "[\u0080-¿]",
+    _LEAD + "[¡-¿]",
+    "Ã¢â‚¬\u009d",
+    "Ã¢â‚¬Å\"",
+    "Ã¢â‚¬â„¢",
     "â€[™œ\"]",
-    "â€¦",
-    "â€\"",
+    "Ã¢â‚¬Â",
+    "Ã¯Â»Â¿",
     "Ã¢â‚¬",
-    "Ã‚Â",
     "Ã¢â€",
-    "Ã¯Â»Â¿",
+    "â€\"",
+    "ÃƒÂ",
+    "Ã‚Â",
+    "â€¦",
     "â€¹",
     "â€º",
-    "Ã¢â‚¬Â",
-    "ÃƒÂ",
-    "Ã¢â‚¬â„¢",
-    "Ã¢â‚¬Å\"",
-    "Ã¢â‚¬\u009d",
-    *["Ã‚Â" + x for x in "§©®"],
 ]
 
 
