@@ -6,6 +6,9 @@ of the calendar, the letters and digits of an address. A keyed Feistel network p
 valid too, and equal values become equal pseudonyms in every document, however they are punctuated. No table of
 values exists, so nothing is exchanged, and ``restore`` undoes it for whoever holds the key.
 
+A number written as a phone number of North America is one even where the plan has no such area or exchange: those
+numbers are a set of their own (``wide``), which is permuted apart and looked for after all valid values.
+
 Defined results: a null text stays null, an empty one empty; texts of any length are treated whole; where two
 patterns overlap, the one that starts first wins, then the longer; equal rows give equal results; an
 empty table gives none. Other columns pass through, whatever their names.
@@ -151,6 +154,18 @@ def pseudonym(kind: str, value: str, permute) -> str | None:
             return None
         rest = len(digits) - 2
         return _refill(value, digits[:2] + str(permute(int(digits[2:]), 10**rest, b"phone" + digits[:2].encode() + bytes([rest]))).zfill(rest))
+    if kind == "wide":
+        rest = digits[1:] if value.startswith("+") or len(digits) == 11 else digits
+        marks = {ch for ch in value if not ch.isdigit()}
+        if value.startswith("+") and digits[0] != "1" or not (marks & set("+(") or len(marks) == 1 and " " not in marks):
+            return None  # groups of digits parted by spaces may be any numbers
+        planned = lambda s: len(s) == 10 and s[0] > "1" and s[3] > "1"
+        if len(rest) not in (9, 10) or planned(rest):
+            return None
+        while True:
+            rest = str(permute(int(rest), 10 ** len(rest), b"wide%d" % len(rest))).zfill(len(rest))
+            if not planned(rest):
+                return _refill(value, digits[: len(digits) - len(rest)] + rest)
     if kind == "ip":
         parts = value.split(".")
         if any(int(p) > 255 or len(p) > 1 and p[0] == "0" for p in parts):
@@ -214,16 +229,38 @@ def _shorter(value: str):
 
 def treat(text: str, permute) -> tuple[str, list[str]]:
     """The text with valid values replaced, and the kinds replaced."""
-    out, done, kinds = [], 0, []
+    found, done, unplanned = [], 0, []
     for start, end, kind in find(text):
-        if start < done or (new := pseudonym(kind, text[start:end], permute)) is None:
+        if start < done:
             continue
+        if new := pseudonym(kind, text[start:end], permute):
+            found.append((start, end, kind, new))
+            done = end
+        elif kind == "phone":
+            unplanned.append((start, end))
+    if unplanned:
+        found = sorted(found + _wide(text, unplanned, found, permute))
+    if not found:
+        return text, []
+    out, done = [], 0
+    for start, end, _, new in found:
         out += [text[done:start], new]
-        kinds.append(kind)
         done = end
-    if not kinds:
-        return text, kinds
-    return "".join(out) + text[done:], kinds
+    return "".join(out) + text[done:], [kind for _, _, kind, _ in found]
+
+
+def _wide(text: str, unplanned: list[tuple[int, int]], found: list[tuple[int, int, str, str]], permute) -> list[tuple[int, int, str, str]]:
+    """Phone numbers outside the plan among the spans that no valid value touches."""
+    out, done, at = [], 0, 0
+    for start, end in unplanned:
+        while at < len(found) and found[at][1] <= start:
+            at += 1
+        if start < done or at < len(found) and found[at][0] < end:
+            continue
+        if new := pseudonym("wide", text[start:end], permute):
+            out.append((start, end, "phone", new))
+            done = end
+    return out
 
 
 def _unused(df: DataFrame, name: str) -> str:

@@ -169,6 +169,22 @@ def test_neighbours_do_not_hide_a_value():
         assert pii.treat(text, p)[0] == text
 
 
+def test_phones_outside_the_plan_are_replaced():
+    p = pii.Permutation(b"k")
+    for value in ("+1 (017) 555-7713", "(132) 555-1352", "+10175557713", "+1 (217) 155-1352", "1-017-555-7713", "017-555-7713", "017.555.7713", "+1 234 567 890", "+1 (000) 000-0000"):
+        text = f"call {value}, or 4111111111111111."
+        new, kinds = pii.treat(text, p.forth)
+        assert value not in new and kinds == ["phone", "card"], value
+        assert pii.treat(new, p.back) == (text, kinds)
+        assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", text)
+        assert pii.pseudonym("phone", new[5 : 5 + len(value)], p.forth) is None  # never among the numbers of the plan
+    digits = lambda t: re.sub(r"\D", "", pii.treat(t, p.forth)[0])[-10:]
+    assert digits("+1 (017) 555-7713") == digits("(017) 555-7713") == digits("017-555-7713")
+    assert "4444 4444 4444 4448" not in pii.treat("(017) 555-4444 4444 4444 4448", p.forth)[0]  # a valid value goes first
+    for text in ("100 200 3000", "rows 017 555 7713"):
+        assert pii.treat(text, p.forth)[0] == text
+
+
 def test_no_personal_data_no_change(docs):
     done = pii.pseudonymise(docs, b"key", counts=True).collect()
     before = Counter((r.doc_id, r.text) for r in docs.collect())
