@@ -1,7 +1,8 @@
 r"""Secret scan: fixed patterns, then randomness tests with length-aware control of false discoveries.
 
 Patterns (always reported): ``assign``, ``access`` and ``hex``. Beyond them every long run of key characters is
-a candidate. Its encoding is inferred from the characters it uses, and three tests ask whether it could
+a candidate if one alphabet has all of them, and so is every long part of it between separators, as a key may stand in
+a path or beside words. Of candidates that overlap, the run goes before its parts. A candidate's encoding is inferred from the characters it uses, and three tests ask whether it could
 be uniform noise in that alphabet: chi-squared of the letter counts, Wald-Wolfowitz runs about the alphabet's
 middle, and lag-one serial correlation. Fisher's method joins them into one p-value, which is uniform for
 true keys and near 0 for words and identifiers.
@@ -17,6 +18,7 @@ equal spans; an empty table gives no row. Only key and text columns are read, so
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -42,8 +44,16 @@ ENCODINGS = (
     ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    # For letters or digits alone, which are many words and numbers and few keys.
+    ("digits", "0123456789"),
+    ("lower", "abcdefghijklmnopqrstuvwxyz"),
+    ("UPPER", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
 )
+#: Where a run is parted, in order of preference: paths, words around base64, everything.
+_SPLITS = [re.compile(f"[^{x}]{{20,}}") for x in ("/", "_-", "/+_-")]
 _SETS = [(n, frozenset(a), {ch: i for i, ch in enumerate(a)}) for n, a in ENCODINGS]
+_ALONE = [n for n, _ in ENCODINGS].index("digits")
 BINS = 200
 SPAN = T.StructType().add("start", "integer").add("kind", "integer").add("end", "integer")
 CANDIDATE = T.StructType().add("start", "integer").add("end", "integer").add("cell", "integer").add("bin", "integer")
@@ -64,11 +74,10 @@ def base_spans(text: str, runs: list[re.Match] | None = None) -> list[tuple[int,
 
 
 def infer(value: str) -> int | None:
-    """Number of the most special encoding with these characters; letters or digits alone have none."""
+    """Number of the most special encoding with these characters, None if no one alphabet has them."""
     used = set(value.rstrip("="))
-    if not any(x.isdigit() for x in used) or all(x.isdigit() for x in used):
-        return None
-    return next((i for i, (_, letters, _) in enumerate(_SETS) if used <= letters), None)
+    alone = all(x.isdigit() for x in used) or all(x.isalpha() for x in used)
+    return next((i for i, (_, letters, _) in enumerate(_SETS) if (i >= _ALONE) == alone and used <= letters), None)
 
 
 def _upper_normal(z: float) -> float:
@@ -118,17 +127,47 @@ def length_class(n: int) -> int:
     return min(15, int(4 * math.log2(n / 20)))
 
 
+def parts(run: re.Match) -> list[tuple[int, int]]:
+    """Places of the run and its parts, those first that are preferred."""
+    start, value = run.start(), run[0].rstrip("=")
+    found = dict.fromkeys([run.span()])
+    if not value.isalnum():
+        # The last part has the padding.
+        found |= dict.fromkeys((start + m.start(), run.end() if m.end() == len(value) else start + m.end()) for split in _SPLITS for m in split.finditer(value))
+    return list(found)
+
+
 def candidates(text: str, runs: list[re.Match]) -> list[tuple[int, int, int, int]]:
     out = []
-    for m in runs:
-        value = m[0]
-        encoding = infer(value)
-        if encoding is not None:
-            p = joint_p(battery(value, encoding))
-            out.append((m.start(), m.end(), encoding * 16 + length_class(len(value)), min(BINS - 1, int(p * BINS))))
+    for run in runs:
+        for start, end in parts(run):
+            value = text[start:end]
+            encoding = infer(value)
+            if encoding is not None:
+                p = joint_p(battery(value, encoding))
+                out.append((start, end, encoding * 16 + length_class(len(value)), min(BINS - 1, int(p * BINS))))
     return out
 
 
+def chosen(base: list[tuple[int, int]], random: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The random spans, in order of preference, that overlap neither a fixed pattern nor one chosen before."""
+    starts, ends = [], []
+    for a, b in sorted(base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    out = []
+    for a, b in random:
+        at = bisect.bisect_right(ends, a)
+        if at == len(starts) or starts[at] >= b:
+            starts.insert(at, a)
+            ends.insert(at, b)
+            out.append((a, b))
+    return sorted(out)
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Base spans and tested candidates of every text, in one pass without an exchange."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
@@ -174,18 +213,20 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha
     for cell, b, n in rows:
         histogram.setdefault(cell, [0] * BINS)[b] = n
     cut = cuts(histogram, alpha)
-    none = F.array().cast(T.ArrayType(SPAN))
-    if cut:
-        table = F.create_map(*[F.lit(x) for pair in cut.items() for x in pair])
+    columns = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"]
+    schema = T.StructType([*[SCAN[x] for x in columns], T.StructField("found", T.ArrayType(SPAN))])
+    span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 
-        def random(x: Column) -> Column:
-            clash = F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-            return (x["bin"] >= table[x["cell"]]) & ~clash
+    def run(batches):
+        for batch in c.slices(batches):
+            out = []
+            for base, tested in zip(batch.column("base").to_pylist(), batch.column("candidates").to_pylist()):
+                random = [(x["start"], x["end"]) for x in tested if x["bin"] >= cut[x["cell"]]]
+                more = chosen([(x["start"], x["end"]) for x in base], random) if random else []
+                out.append(sorted(base + [{"start": a, "kind": 3, "end": b} for a, b in more], key=lambda x: (x["start"], x["kind"], x["end"])))
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in columns], pa.array(out, span)], [*columns, "found"])
 
-        more = F.transform(F.filter("candidates", random), lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
-    else:
-        more = none
-    return scanned.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.array_sort(F.concat("base", more)).alias("found"))
+    return scanned.mapInArrow(run, schema)
 
 
 def rendered(found: Column) -> Column:

@@ -115,6 +115,39 @@ def test_random_keys_are_found_in_a_corpus(spark):
     assert sum(h >= 1000 for h in hits) >= 80 and sum(h < 1000 for h in hits) <= 10
 
 
+def test_keys_beside_separators_and_without_digits_are_found(spark):
+    r = random.Random(9)
+    letters = dict(sb.ENCODINGS)["base62"]
+    size = lambda alphabet: 22 if alphabet.isdigit() else 40  # more digits are a fixed pattern
+    key = lambda alphabet: "".join(r.choice(alphabet) for _ in range(size(alphabet)))
+    forms = [("com/services/T0Ab_9/", letters, ""), ("my-app/", letters, "/x"), ("of_a-+", letters, ""), ("a_b/", letters + "-_", ""), ("a-b_", letters + "+/", "=="), ("", letters[10:], ""), ("", letters[:10], ""), ("", letters[10:36], ""), ("", letters[36:], "")]
+    rows, where = [], {}
+    for i in range(100 * len(forms)):
+        before, alphabet, after = forms[i % len(forms)]
+        where[i] = (len(f"see {before}"), len(f"see {before}") + size(alphabet), i % len(forms))
+        rows.append((i, f"see {before}{key(alphabet)}{after} please"))
+    got = sb.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    whole, touched = Counter(), Counter()
+    for x in got:
+        a, b, form = where[x.doc_id]
+        spans = [s for s in x.found if s.kind == 3]
+        assert all(p.end <= q.start for p, q in zip(spans, spans[1:]))
+        whole[form] += any(a - 1 <= s.start <= a and s.end >= b for s in spans)
+        touched[form] += any(s.start < b and a < s.end for s in spans)
+    # Base64 with a slash of its own is found in part; 22 digits are too few for a sharp cut.
+    assert all(whole[i] >= 80 for i in range(len(forms)) if i not in (4, 6)), whole
+    assert all(touched[i] >= (50 if i == 6 else 80) for i in range(len(forms))), touched
+
+
+def test_parts_of_a_run():
+    run = lambda t: [t[a:b] for a, b in sb.parts(sb._LONG.search(t))]
+    key, other = "kQ3vkQ3vkQ3vkQ3vkQ3v1", "Z9xZ9xZ9xZ9xZ9xZ9xZ9x"
+    assert run(f"ab/{key}") == [f"ab/{key}", key]
+    assert run(f"a-b/{key}+{other}==") == [f"a-b/{key}+{other}==", f"{key}+{other}==", f"b/{key}+{other}==", key, f"{other}=="]
+    assert sb.infer("a-b/c1") is None and [sb.ENCODINGS[sb.infer(x)][0] for x in ("a-b", "12", "abc", "ABC", "aB", "a1", "A2")] == ["base64url", "digits", "lower", "UPPER", "letters", "hex", "HEX"]
+    assert sb.chosen([(5, 9), (7, 20)], [(0, 6), (20, 40), (30, 50), (40, 41), (0, 5)]) == [(0, 5), (20, 40), (40, 41)]
+
+
 # Personal data.
 
 
