@@ -9,7 +9,8 @@ true keys and near 0 for words and identifiers.
 
 The tests have less power on short strings, so the cut is set per encoding and length class from the whole
 corpus: with the p-values' histogram, Storey's estimate of the random share says how many of those at or above
-a cut are noise, and the lowest cut whose estimated false-discovery rate is within ``alpha`` is taken. Only
+a cut are noise, and the lowest cut whose estimated false-discovery rate is within ``alpha`` is taken. A class of few
+candidates borrows from the lengths next to it, then from the other encodings. The histogram counts distinct strings. Only
 that histogram (encodings x length classes x bins, a fixed number of rows) reaches the driver.
 
 Defined results: a null or empty text has no span; texts of any length are scanned whole; equal texts get
@@ -55,8 +56,10 @@ _SPLITS = [re.compile(f"[^{x}]{{20,}}") for x in ("/", "_-", "/+_-")]
 _SETS = [(n, frozenset(a), {ch: i for i, ch in enumerate(a)}) for n, a in ENCODINGS]
 _ALONE = [n for n, _ in ENCODINGS].index("digits")
 BINS = 200
+#: Distinct candidates from which a cell stands for itself.
+ENOUGH = 200
 SPAN = T.StructType().add("start", "integer").add("kind", "integer").add("end", "integer")
-CANDIDATE = T.StructType().add("start", "integer").add("end", "integer").add("cell", "integer").add("bin", "integer")
+CANDIDATE = T.StructType().add("start", "integer").add("end", "integer").add("cell", "integer").add("bin", "integer").add("hash", "long")
 SCAN = T.StructType().add("doc_id", "long").add("n_assign", "long").add("n_access", "long").add("n_hex", "long").add("base_sha256", "string").add("base", T.ArrayType(SPAN)).add("candidates", T.ArrayType(CANDIDATE))
 
 
@@ -137,7 +140,7 @@ def parts(run: re.Match) -> list[tuple[int, int]]:
     return list(found)
 
 
-def candidates(text: str, runs: list[re.Match]) -> list[tuple[int, int, int, int]]:
+def candidates(text: str, runs: list[re.Match]) -> list[tuple[int, int, int, int, int]]:
     out = []
     for run in runs:
         for start, end in parts(run):
@@ -145,7 +148,8 @@ def candidates(text: str, runs: list[re.Match]) -> list[tuple[int, int, int, int
             encoding = infer(value)
             if encoding is not None:
                 p = joint_p(battery(value, encoding))
-                out.append((start, end, encoding * 16 + length_class(len(value)), min(BINS - 1, int(p * BINS))))
+                digest = hashlib.blake2b(value.encode(), digest_size=8).digest()
+                out.append((start, end, encoding * 16 + length_class(len(value)), min(BINS - 1, int(p * BINS)), int.from_bytes(digest, "big", signed=True)))
     return out
 
 
@@ -171,7 +175,7 @@ def chosen(base: list[tuple[int, int]], random: list[tuple[int, int]]) -> list[t
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Base spans and tested candidates of every text, in one pass without an exchange."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    candidate = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("cell", pa.int32()), ("bin", pa.int32())]))
+    candidate = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("cell", pa.int32()), ("bin", pa.int32()), ("hash", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("base", span), ("candidates", candidate)])
 
     def run(batches):
@@ -182,17 +186,33 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 spans = base_spans(t, runs)
                 digest = hashlib.sha256(",".join(f"{KINDS[kind]}:{a}:{b}" for a, kind, b in spans).encode()).hexdigest()
                 n = [sum(s[1] == i for s in spans) for i in range(3)]
-                out.append((k, *n, digest, [dict(zip(("start", "kind", "end"), s)) for s in spans], [dict(zip(("start", "end", "cell", "bin"), s)) for s in candidates(t, runs)]))
+                out.append((k, *n, digest, [dict(zip(("start", "kind", "end"), s)) for s in spans], [dict(zip(("start", "end", "cell", "bin", "hash"), s)) for s in candidates(t, runs)]))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     return c.spread(rows).mapInArrow(run, SCAN)
 
 
+def pooled(histogram: dict[int, list[int]]) -> dict[int, list[int]]:
+    """Per cell its counts, with those of cells near by until they are ``ENOUGH``: lengths first, then encodings."""
+    out = {}
+    for cell, counts in histogram.items():
+        encoding, length = divmod(cell, 16)
+        # Words of letters alone say nothing about the other encodings.
+        alike = [x for x in histogram if x // 16 != encoding and (x // 16 >= _ALONE) == (encoding >= _ALONE)]
+        rings = [[encoding * 16 + x for x in {length - d, length + d} if 0 <= x < 16] for d in range(1, 16)] + [alike]
+        for ring in rings:
+            if sum(counts) >= ENOUGH:
+                break
+            counts = [sum(x) for x in zip(counts, *[histogram[x] for x in ring if x in histogram])]
+        out[cell] = counts
+    return out
+
+
 def cuts(histogram: dict[int, list[int]], alpha: float) -> dict[int, int]:
     """Per cell the lowest bin from which candidates count as random."""
     out = {}
-    for cell, counts in histogram.items():
+    for cell, counts in pooled(histogram).items():
         upper = sum(counts[BINS // 2 :])
         per_bin = 2 * upper / BINS  # of noise, were its p-values uniform
         flagged, best = 0, BINS
@@ -208,7 +228,7 @@ def cuts(histogram: dict[int, list[int]], alpha: float) -> dict[int, int]:
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = 0.05) -> DataFrame:
     """doc_id, counts and digest of base spans, and ``found``: array of (start, kind, end), with the random ones."""
     scanned = c.staged(scan(docs, key, text), "secrets")
-    rows = scanned.where(F.size("candidates") > 0).select(F.explode("candidates").alias("x")).groupBy("x.cell", "x.bin").count().collect()  # a fixed number of cells and bins
+    rows = scanned.where(F.size("candidates") > 0).select(F.explode("candidates").alias("x")).select("x.cell", "x.bin", "x.hash").distinct().groupBy("cell", "bin").count().collect()  # a fixed number of cells and bins
     histogram: dict[int, list[int]] = {}
     for cell, b, n in rows:
         histogram.setdefault(cell, [0] * BINS)[b] = n

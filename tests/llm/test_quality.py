@@ -148,6 +148,37 @@ def test_parts_of_a_run():
     assert sb.chosen([(5, 9), (7, 20)], [(0, 6), (20, 40), (30, 50), (40, 41), (0, 5)]) == [(0, 5), (20, 40), (40, 41)]
 
 
+def reported(cells, per_cell, seed):
+    """Share of true keys, of uniform p-values, that the cuts report."""
+    r, hits = random.Random(seed), 0
+    for _ in range(20):
+        histogram = {x: [0] * sb.BINS for x in cells}
+        for counts in histogram.values():
+            for _ in range(per_cell):
+                counts[r.randrange(sb.BINS)] += 1
+        hits += sum(sum(histogram[x][cut:]) for x, cut in sb.cuts(histogram, 0.05).items())
+    return hits / (20 * len(cells) * per_cell)
+
+
+def test_thin_cells_borrow():
+    assert reported(range(128), 1, 1) > 0.8 and reported(range(128), 5, 2) > 0.85 and reported([80], 1000, 3) > 0.95
+    # A lone key, p 0.3, beside many of other lengths; one more than enough leaves a cell to itself.
+    many = [5] * sb.BINS
+    lone = [int(i == 60) for i in range(sb.BINS)]
+    assert sb.cuts({82: many, 90: lone}, 0.05)[90] <= 60 and sb.cuts({82: many, 50: lone}, 0.05)[50] <= 60
+    assert sb.pooled({82: many, 83: many}) == {82: many, 83: many}
+
+
+def test_copies_of_a_string_count_once(spark):
+    r = random.Random(8)
+    letters = dict(sb.ENCODINGS)["base62"]
+    keys = [(i, "key " + "".join(r.choice(letters) for _ in range(40)) + " here") for i in range(100)]
+    value = lambda rows: {(x.doc_id, s.start) for x in sb.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.doc_id < 100 for s in x.found}
+    names = ("".join(r.choice(letters) for _ in range(40)) for _ in range(1000))
+    name = "see " + next(x for x in names if 0.2 < sb.joint_p(sb.battery(x, sb.infer(x))) < 0.4 and sb.infer(x) == 5) + " please"
+    assert value(keys + [(1000 + i, name) for i in range(1000)]) == value([*keys, (1000, name)])
+
+
 # Personal data.
 
 
