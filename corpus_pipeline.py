@@ -12,8 +12,8 @@ from docweave.llm import _common, feistel_pii, grace_dedup, packing, parity_join
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the strict policy of the rule ledger."""
-    return rule_ledger.keep_good(docs, "strict-1")
+    """Documents of any length that pass the strict policy of the rule ledger."""
+    return rule_ledger.keep_good(docs, "strict-2")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

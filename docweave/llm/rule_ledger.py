@@ -57,6 +57,8 @@ def mask_of(*names: str) -> int:
 POLICIES = {
     "base-1": mask_of("too_few_words", "repeated_windows"),
     "strict-1": mask_of(*BIT),
+    # Without the cap on size, which says nothing about a text's quality.
+    "strict-2": mask_of(*BIT) & ~BIT["too_many_words"],
 }
 LEDGER = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(m, T.LongType()) for m in MEASURES]])
 

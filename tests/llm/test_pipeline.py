@@ -66,6 +66,15 @@ def test_stages_one_by_one(spark, folder):
     assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in run) == Counter((r.doc_id, r.piece, r.ids_crc32) for r in packed)
 
 
+def test_length_alone_rejects_no_document(spark, tmp_path):
+    words = [a + b + d for a in "bcdfghklmn" for b in "aeiou" for d in "bcdfghklmn"]
+    text = " ".join(words[(i * i // 7 + i) % 500] + words[i % 499] for i in range(1_000_100))
+    docs = spark.createDataFrame([(1, text, "en", "src0", len(text)), (2, "too short", "en", "src0", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.failed_bits for r in rl.apply_rules(docs).where("doc_id = 1").collect()] == [rl.BIT["too_many_words"]]
+    assert [r.doc_id for r in corpus_pipeline.quality(spark, docs, "").collect()] == [1]
+    assert rl.keep_good(docs, "strict-1").count() == 0  # a stored version stays as it was
+
+
 def test_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
