@@ -5,15 +5,19 @@ Texts are equal when identical after deleting white space ``[\x20\x09-\x0D]``. T
 1. *Local tables.* Each task deduplicates the rows of its own input split, so that however many copies a
    text has, at most one record per split leaves it.
 2. *Grace partitioning.* These records are exchanged by content hash (Spark's shuffle files are the first
-   level of spill files). A task splits its bucket by further hash bits into spill files on its own disk, again
-   and again, until each part fits an open-addressing table, which compares complete contents, not only
-   hashes. Of equal texts, the longest original, then the smallest ``doc_id``, stays.
-3. *Answers.* A group's answer returns once per split that held it, and each row finds it by
-   (split, place in the split's table): no key is hotter than one split.
+   level of spill files). A task streams its bucket into an open-addressing table, which compares complete
+   contents, not only hashes. When the table's distinct contents reach ``bound`` bytes it takes no more of them: records
+   of contents that it has are still merged, the others go to spill files by further hash bits, and each file is treated
+   alike. So memory is bounded, every level ends at least one content, and a text with copies in every split costs
+   one content and no more. Of equal texts, the longest original, then the smallest ``doc_id``, stays.
+3. *Answers* (``dedup``). A group's answer returns once per table that held it, and each row finds it by
+   (split, place in the split's table): no key is hotter than one split. ``keep_first`` needs no answers: the records
+   that it exchanges are the rows themselves, so one exchange is all it has.
 
 Defined results: a null text counts as empty, all empty texts are equal; texts of any length are compared whole;
-rows with a null key come after all others; if rows tie fully (same key too), all of them are kept or dropped
-alike: ``kept`` marks each row whose key is the kept key. Only key and text columns are read.
+rows with a null key come after all others; exactly one row of each group is kept, also where rows tie
+fully or have no key (any one of rows alike in length and key). ``dedup`` reads only the key
+and text columns; ``keep_first`` passes the others through, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +36,9 @@ from . import _common as c
 _BLANKS = b"\t\n\x0b\x0c\r "
 NO_KEY = (1 << 63) - 1
 LOCAL = T.StructType().add("split", "long").add("slot", "long").add("doc_id", "long").add("n_here", "long").add("best_length", "long").add("best_id", "long").add("hash", "long").add("content", "binary").add("text_sha256", "string")
-ANSWER = T.StructType().add("split", "long").add("slot", "long").add("keep_id", "long").add("group_size", "long")
+ANSWER = T.StructType().add("split", "long").add("slot", "long").add("keep_id", "long").add("group_size", "long").add("won", "boolean")
 _RECORD = struct.Struct("<qqqqqqq")
+_PLACE = struct.Struct("<qqq")
 
 
 def normalise(text: bytes) -> bytes:
@@ -65,14 +70,16 @@ class OpenTable:
                 at = (at + 1) & (n - 1)
             self.hashes[at], self.cells[at] = h, k
 
-    def find(self, h: int, content: bytes) -> tuple[int, bool]:
-        """The content's number, and whether it is new."""
+    def find(self, h: int, content: bytes, add: bool = True) -> tuple[int, bool]:
+        """The content's number, and whether it is new. An unknown one that is not to be added has the number -1."""
         n, cells, hashes = len(self.cells), self.cells, self.hashes
         at = h & (n - 1)
         while (k := cells.item(at)) >= 0:
             if hashes.item(at) == h and self.contents[k] == content:
                 return k, False
             at = (at + 1) & (n - 1)
+        if not add:
+            return -1, True
         k = len(self.contents)
         hashes[at], cells[at] = h, k
         self.contents.append(content)
@@ -87,7 +94,7 @@ def better(length: int, key: int, than_length: int, than_key: int) -> bool:
 
 
 def _local(docs: DataFrame, key: str, text: str, bound: int) -> DataFrame:
-    """Step 1: a row per document; the first row of each distinct content in a split also carries the content.
+    """Step 1: a row per document; the best row of each distinct content in a table also carries the content.
 
     A table that outgrows ``bound`` bytes is closed and a new one begun under another split number, so memory
     is bounded whatever the split's size; the later steps merge what two tables both hold.
@@ -103,13 +110,11 @@ def _local(docs: DataFrame, key: str, text: str, bound: int) -> DataFrame:
         table, held, size = OpenTable(), [], 0
 
         def done():
-            # Places of members first, then the representatives with what the table knows of them.
             for at in range(0, len(held), 4096):
-                some = held[at : at + 4096]
                 out = []
-                for k, slot, first in some:
-                    n, length, best, h, digest = table.values[slot]
-                    out.append((part << 32 | tables, slot, None if k == NO_KEY else k, *((n, length, best, h, table.contents[slot]) if first else (None,) * 5), digest))
+                for place, (k, slot) in enumerate(held[at : at + 4096], at):
+                    n, length, best, h, digest, best_place = table.values[slot]
+                    out.append((part << 32 | tables, slot, None if k == NO_KEY else k, *((n, length, best, h, table.contents[slot]) if place == best_place else (None,) * 5), digest))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
         for batch in c.slices(batches):
@@ -120,17 +125,17 @@ def _local(docs: DataFrame, key: str, text: str, bound: int) -> DataFrame:
                 slot, first = table.find(h, content)
                 value = table.values[slot]
                 if first:
-                    value += [1, length, k, h, hashlib.sha256(content).hexdigest()]
+                    value += [1, length, k, h, hashlib.sha256(content).hexdigest(), len(held)]
                     size += len(content) + 300
                 else:
                     value[0] += 1
                     if better(length, k, value[1], value[2]):
-                        value[1:3] = length, k
-                held.append((k, slot, first))
+                        value[1:3], value[5] = (length, k), len(held)
+                held.append((k, slot))
                 size += 100
-            if size > bound:
-                yield from done()
-                table, held, size, tables = OpenTable(), [], 0, tables + 1
+                if size > bound:
+                    yield from done()
+                    table, held, size, tables = OpenTable(), [], 0, tables + 1
         if held:
             yield from done()
 
@@ -138,7 +143,7 @@ def _local(docs: DataFrame, key: str, text: str, bound: int) -> DataFrame:
 
 
 class Grace:
-    """Records of one bucket, spilt by hash bits until a part fits a table of ``bound`` bytes."""
+    """Records of one bucket; what no longer fits a table of ``bound`` bytes of distinct contents is spilt by hash bits."""
 
     FAN = 16
 
@@ -147,29 +152,37 @@ class Grace:
 
     def solve(self, records, level: int = 0):
         """``records``: iterable of (split, slot, n, length, best, hash, content). Yields the answers."""
-        held, size, files = [], 0, None
-        for r in records:
-            if files is None:
-                held.append(r)
-                size += len(r[6]) + 400
-                if size > self.bound and level < 15:
-                    files = [open(os.path.join(self.folder, f"{level}-{i}-{os.urandom(4).hex()}"), "w+b") for i in range(self.FAN)]  # noqa: SIM115
-                    for x in held:
-                        self._put(files, level, x)
-                    held = []
-            else:
-                self._put(files, level, r)
-        if files is None:
-            yield from self.table(held)
-            return
-        for f in files:
+        table, size, files = OpenTable(), 0, None
+        with tempfile.SpooledTemporaryFile(max_size=8 << 20, dir=self.folder) as places:  # of all copies, however many
+            for r in records:
+                split, slot, n, length, best, h, content = r
+                k, new = table.find(h, content, size <= self.bound)
+                if k < 0:
+                    files = files or spill_files(self.folder, self.FAN)
+                    self._put(files[spill_number(h, level, self.FAN)], r)
+                    continue
+                value = table.values[k]
+                if new:
+                    value += [n, length, best, split, slot]
+                    size += len(content) + 400
+                else:
+                    value[0] += n
+                    if better(length, best, value[1], value[2]):
+                        value[1:] = length, best, split, slot
+                places.write(_PLACE.pack(split, slot, k))
+            places.seek(0)
+            while some := places.read(_PLACE.size << 12):
+                for split, slot, k in _PLACE.iter_unpack(some):
+                    n, _, best, *won = table.values[k]
+                    yield split, slot, None if best == NO_KEY else best, n, won == [split, slot]
+        del table
+        for f in files or ():
             f.seek(0)
             yield from self.solve(self._get(f), level + 1)
             f.close()
-            os.unlink(f.name)
 
-    def _put(self, files, level: int, r) -> None:
-        f = files[(r[5] >> (4 * level)) & (self.FAN - 1)]
+    @staticmethod
+    def _put(f, r) -> None:
         f.write(_RECORD.pack(*r[:6], len(r[6])))
         f.write(r[6])
 
@@ -179,27 +192,20 @@ class Grace:
             *r, n = _RECORD.unpack(head)
             yield (*r, f.read(n))
 
-    @staticmethod
-    def table(records):
-        table = OpenTable()
-        for split, slot, n, length, best, h, content in records:
-            k, new = table.find(h, content)
-            value = table.values[k]
-            if new:
-                value += [n, length, best, [(split, slot)]]
-            else:
-                value[0] += n
-                value[3].append((split, slot))
-                if better(length, best, value[1], value[2]):
-                    value[1:3] = length, best
-        for n, _, best, places in table.values:
-            for split, slot in places:
-                yield split, slot, None if best == NO_KEY else best, n
+
+def spill_files(folder: str, n: int) -> list:
+    return [tempfile.TemporaryFile(dir=folder) for _ in range(n)]
+
+
+def spill_number(h: int, level: int, fan: int) -> int:
+    """Other bits of the hash on each level; after the last ones they begin anew, mixed."""
+    turn, at = divmod(level, 15)
+    return ((h * (2 * turn + 1) & (1 << 64) - 1) >> (4 * at)) & (fan - 1)
 
 
 def _answers(local: DataFrame, partitions: int, bound: int) -> DataFrame:
     """Step 2."""
-    schema = pa.schema([("split", pa.int64()), ("slot", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+    schema = pa.schema([("split", pa.int64()), ("slot", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("won", pa.bool_())])
     records = local.where(F.col("content").isNotNull()).select("split", "slot", "n_here", "best_length", "best_id", "hash", "content").repartition(partitions, "hash")
 
     def run(batches):
@@ -212,14 +218,95 @@ def _answers(local: DataFrame, partitions: int, bound: int) -> DataFrame:
             for answer in Grace(folder, bound).solve(records()):
                 out.append(answer)
                 if len(out) == 8192:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
                     out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
     return records.mapInArrow(run, ANSWER)
 
 
+class BestRows:
+    """The best row of each distinct content among the record batches given, in an open-addressing table."""
+
+    def __init__(self, key: int, text: int, bound: int, hashes: int | None = None):
+        """Places of columns; without ``hashes`` they are computed and added as the last one."""
+        self.key, self.text, self.bound, self.hashes = key, text, bound, hashes
+        self.table, self.size = OpenTable(), 0
+        self.chunks: list[pa.RecordBatch] = []
+        self.stale = 0
+
+    def add(self, batch: pa.RecordBatch, spill: bool) -> list[tuple[int, int]]:
+        """Takes the rows in; with ``spill`` none of new content once the bound is reached: (row, hash) of those."""
+        table, over, new, made = self.table, [], {}, []
+        told = None if self.hashes is None else batch.column(self.hashes).to_pylist()
+        for i, (k, t) in enumerate(zip(batch.column(self.key).to_pylist(), batch.column(self.text).to_pylist())):
+            t = t or ""
+            content = normalise(t.encode("utf-8", "surrogatepass"))
+            if told:
+                h = told[i]
+            else:
+                made.append(h := content_hash(content))
+            slot, first = table.find(h, content, not spill or self.size <= self.bound)
+            if slot < 0:
+                over.append((i, h))
+                continue
+            rank = (-len(t), NO_KEY if k is None else k, k is None)
+            value = table.values[slot]
+            if first:
+                value += [rank, 0, 0]
+                self.size += 2 * len(content) + 600
+            elif rank >= value[0]:
+                continue
+            else:
+                self.stale += slot not in new
+                value[0] = rank
+            new[slot] = i
+        if made:
+            batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.int64())], [*batch.schema.names, "h"])
+        if new:
+            for at, slot in enumerate(new):
+                table.values[slot][1:] = len(self.chunks), at
+            self.chunks.append(batch.take(pa.array(list(new.values()), pa.int64())))
+            if self.stale > 256 + len(table.values) // 2:  # forget rows that better ones replaced
+                self.chunks, self.stale = list(self.rows()), 0
+                place = ((c, i) for c, chunk in enumerate(self.chunks) for i in range(chunk.num_rows))
+                for value in sorted(table.values, key=lambda v: v[1:]):
+                    value[1:] = next(place)
+        return over
+
+    def rows(self):
+        live: list[list[int]] = [[] for _ in self.chunks]
+        for _, chunk, at in self.table.values:
+            live[chunk].append(at)
+        for chunk, at in zip(self.chunks, live):
+            if at:
+                yield chunk if len(at) == chunk.num_rows else chunk.take(pa.array(sorted(at), pa.int64()))
+
+
+def _best_rows(batches, key: int, text: int, hashes: int, bound: int, folder: str, level: int = 0):
+    """Step 2 for whole rows: the best row of each content of a bucket."""
+    best, files, writers = BestRows(key, text, bound, hashes), None, {}
+    for batch in batches:
+        over = best.add(batch, True)
+        parts: dict[int, list[int]] = {}
+        for i, h in over:
+            parts.setdefault(spill_number(h, level, Grace.FAN), []).append(i)
+        for n, rows in parts.items():
+            files = files or spill_files(folder, Grace.FAN)
+            if n not in writers:
+                writers[n] = pa.ipc.new_stream(files[n], batch.schema)
+            writers[n].write_batch(batch.take(pa.array(rows, pa.int64())))
+    yield from best.rows()
+    del best
+    for n, writer in writers.items():
+        writer.close()
+        files[n].seek(0)
+        yield from _best_rows(pa.ipc.open_stream(files[n]), key, text, hashes, bound, folder, level + 1)
+    for f in files or ():
+        f.close()
+
+
 def _scratch() -> str | None:
     """Spark's own scratch disk of this executor, where spill files belong; they are lost with their task alone."""
     return next((d for d in os.environ.get("SPARK_LOCAL_DIRS", os.environ.get("LOCAL_DIRS", "")).split(",") if os.path.isdir(d)), None)
@@ -231,15 +318,39 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bound: int =
     # Written once: both later steps read it, and the numbers of splits cannot change under a retry.
     local = c.staged(_local(docs, key, text, bound), "grace-local")
     answers = _answers(local, partitions, bound)
-    members = local.select("split", "slot", "doc_id", "text_sha256")
+    members = local.select("split", "slot", "doc_id", F.col("hash").isNotNull().alias("best"), "text_sha256")
     joined = members.join(answers, ["split", "slot"])
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return joined.select("doc_id", "keep_id", "group_size", (F.col("best") & F.col("won")).alias("kept"), "text_sha256")
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", bound: int = 96 << 20) -> DataFrame:
+    """One row of each group of equal texts, with all columns of ``docs``; rows are exchanged once, copies within a split not at all."""
+    places = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
+    rows = docs.toDF(*[f.name for f in places])  # own names, so that no column can clash
+    at, width = [], len(places)
+    for name, kind in ((key, T.LongType()), (text, T.StringType())):
+        at.append(docs.columns.index(name))
+        if places[at[-1]].dataType != kind:  # then it is cast beside the column
+            rows, at[-1] = rows.withColumn(f"as{len(at)}", F.col(f"c{at[-1]}").cast(kind)), width
+            width += 1
+    schema = T.StructType([*rows.schema.fields, T.StructField("h", T.LongType())])
+
+    def local(batches):
+        best = BestRows(*at, bound)
+        for batch in c.slices(batches):
+            best.add(batch, False)
+            if best.size > bound:
+                yield from best.rows()
+                best = BestRows(*at, bound)
+        yield from best.rows()
 
+    def solve(batches):
+        with tempfile.TemporaryDirectory(dir=_scratch()) as folder:
+            for batch in _best_rows(c.slices(batches), *at, width, bound, folder):
+                yield batch.select(list(range(len(places))))
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that an equal one outranks. Rows of one key are kept or dropped together."""
-    dropped = dedup(docs, key, text).groupBy(F.col("doc_id").alias("_dropped")).agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")).drop("kept")
-    return docs.join(dropped, docs[f"`{key}`"] == dropped["_dropped"], "left_anti")
+    found = rows.mapInArrow(local, schema).repartition(c.parts_for(docs, 64 << 20), "h").mapInArrow(solve, T.StructType(places))
+    return found.toDF(*docs.columns)
 
 
 def op7_grace_dedup(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docweave.llm import _common as c, components, grace_dedup as gd, parity_join as pj, warc_writer as ww
@@ -21,11 +22,14 @@ def brute_dedup(pairs):
     groups = defaultdict(list)
     for k, t in pairs:
         groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), k is None, k))
-    out = Counter()
+    out, stays = Counter(), set()
     for k, t in pairs:
         bare = re.sub(r"[\x20\x09-\x0D]", "", t or "")
-        keep = min(groups[bare])[2]
-        out[(k, keep, len(groups[bare]), k == keep, hashlib.sha256(bare.encode()).hexdigest())] += 1
+        best = min(groups[bare], key=lambda x: (x[0], x[1], x[2] or 0))
+        first = (-len(t or ""), k is None, k) == best and bare not in stays  # of rows that tie fully one
+        if first:
+            stays.add(bare)
+        out[(k, best[2], len(groups[bare]), first, hashlib.sha256(bare.encode()).hexdigest())] += 1
     return out
 
 
@@ -47,12 +51,46 @@ def test_grace_recursion_with_equal_hashes(tmp_path):
     """Records that no hash bit parts end in one table after the last level."""
     records = [(0, i, 1, 3, i, 5, b"%d" % (i % 7)) for i in range(50)]
     got = sorted(gd.Grace(str(tmp_path), 100).solve(iter(records)))
-    assert got == sorted((0, i, i % 7, 8 if i % 7 == 0 else 7) for i in range(50))
+    assert got == sorted((0, i, i % 7, 8 if i % 7 == 0 else 7, i < 7) for i in range(50))
     assert not list(tmp_path.iterdir())
 
 
-def test_keep_first(docs, pairs):
-    kept = gd.keep_first(docs)
+def test_a_hot_content_costs_one_content(tmp_path, monkeypatch):
+    """Copies from ever so many splits, larger in sum than the bound, are never held or spilt."""
+    hot = b"boilerplate " * 2000
+    monkeypatch.setattr(gd, "spill_files", lambda *a: pytest.fail("spilt"))
+    answers = list(gd.Grace(str(tmp_path), 1 << 20).solve((split, 0, 2, 9, split, gd.content_hash(hot), hot) for split in range(20_000)))
+    assert len(answers) == 20_000 and {a[2:4] for a in answers} == {(0, 40_000)} and [a[0] for a in answers if a[4]] == [0]
+
+
+@pytest.mark.parametrize("bound", [96 << 20, 3000, 1])
+def test_repeated_rows_and_null_keys(spark, bound):
+    rows = [(1, "A a"), (1, "A a"), (None, "B b"), (None, "Bb "), (None, "B b"), (2, "A  a"), (3, None), (None, ""), (None, "C")]
+    docs = spark.createDataFrame([(*r, r[0], {"x": 1}) for r in rows], "doc_id long, text string, h long, c0 map<string, int>").repartition(3)
+    got = gd.dedup(docs, bound=bound).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == brute_dedup(rows)
+    kept = gd.keep_first(docs, bound=bound)
+    assert kept.columns == docs.columns
+    # The longest of each group; one of the rows that tie.
+    assert sorted((r.doc_id or -1, (r.text or "").replace(" ", "")) for r in kept.collect()) == [(-1, "Bb"), (-1, "C"), (2, "Aa"), (3, "")]
+
+
+def test_keys_and_texts_of_other_types(spark):
+    docs = spark.createDataFrame([("7", 12, 1), ("8", 12, 2), ("9", None, 3)], "doc_id string, text int, as1 int")
+    assert sorted(map(tuple, gd.keep_first(docs).collect()))[0] == ("7", 12, 1) and gd.keep_first(docs).count() == 2
+
+
+def test_best_rows_forget_replaced_ones(spark):
+    best = gd.BestRows(0, 1, 1 << 20)
+    for n in range(1, 900):
+        best.add(pa.RecordBatch.from_pylist([{"k": n, "t": "a" + " " * n}, {"k": n, "t": f"b{n}"}]), False)
+    got = [r for batch in best.rows() for r in batch.to_pylist()]
+    assert len(got) == 900 and {"k": 899, "t": "a" + " " * 899} in [{k: r[k] for k in "kt"} for r in got]
+
+
+@pytest.mark.parametrize("bound", [96 << 20, 3000, 1])
+def test_keep_first(docs, pairs, bound):
+    kept = gd.keep_first(docs, bound=bound)
     assert kept.columns == docs.columns
     want = Counter({k: n for (k, _, _, good, _), n in brute_dedup(pairs).items() if good})
     assert Counter(r.doc_id for r in kept.collect()) == want
@@ -157,17 +195,52 @@ def test_linked_by_product_is_linked_by_intersection():
     r = np.random.default_rng(7)
     sets = {i: np.unique(r.integers(0, 60, r.integers(20, 50), dtype=np.uint64)) for i in range(20)}
     pairs = [(a, b) for a in sets for b in sets if a < b]
-    one_by_one = [p for p in pairs if pj.linked({k: sets[k] for k in p}, [p], 50)]
-    assert pj.linked(sets, pairs, 50) == one_by_one and one_by_one
+    one_by_one = [p for p in pairs if len(pj.linked({k: sets[k] for k in p}, np.array([p]), 50)[0])]
+    a, b = pj.linked(sets, np.array(pairs), 50)
+    assert list(zip(a.tolist(), b.tolist())) == one_by_one and one_by_one
+    # The same as a block: documents linked, and components.
+    asked, weight = np.zeros((20, 20), bool), {i: i + 1 for i in sets}
+    asked[tuple(zip(*pairs))] = True
+    got = pj.block_links(sets, weight, list(sets), np.packbits(asked, axis=None).tobytes(), bytes(50), 0, 50)
+    want = Counter()
+    for a, b in one_by_one:
+        want[a] += weight[b]
+        want[b] += weight[a]
+    assert {k: n for k, _, n in got} == want
 
 
 def test_keep_one(docs, pairs):
     kept = pj.keep_one(docs)
     assert kept.columns == docs.columns
     near = brute_near(pairs)
-    want = Counter({k: n for (k, _, _, comp), n in near.items() for n in [near[(k, _, _, comp)]] if k is None or k == comp})
-    got = Counter(r.doc_id for r in kept.collect())
-    assert set(got) == set(want)
+    want = Counter({k: n if size == 0 else 1 for (k, size, _, comp), n in near.items() if k == comp})
+    assert Counter(r.doc_id for r in kept.collect()) == want
+
+
+def test_null_keys_link_nothing_and_one_row_stays(spark):
+    """Two clusters whose null keys are all they have in common, repeated rows, and a cluster without any key."""
+    a, b, z = (" ".join(f"{x}{i}" for i in range(60)) for x in "abz")
+    rows = [(1, a), (1, a), (None, a + " x"), (7, b), (None, b + " y"), (None, b + " y"), (None, z), (None, z + " w"), (None, z), (5, None), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, 1, {"x": 1}) for r in rows], "doc_id long, text string, row_number int, id map<string, int>").repartition(3)
+    got = {(r.doc_id, r.n_shingles, r.n_similar, r.component_id) for r in pj.near_duplicates(docs).collect()}
+    assert got == {(1, 56, 2, 1), (None, 57, 2, 1), (7, 56, 2, 7), (None, 57, 2, 7), (None, 56, 2, None), (None, 57, 2, None), (5, 0, 0, 5), (None, 0, 0, None)}
+    kept = pj.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, (r.text or "")[:1]) for r in kept.collect()) == [(0, ""), (0, ""), (0, "z"), (1, "a"), (5, ""), (7, "b")]
+
+
+@pytest.mark.parametrize("tile,shingles", [(1024, 1 << 21), (100, 5000)])
+def test_templates_go_as_blocks(spark, monkeypatch, tile, shingles):
+    """Texts that differ in one word each: every two link, and what leaves a block grows with its sets."""
+    monkeypatch.setattr(pj, "TILE", tile)
+    monkeypatch.setattr(pj, "VERIFY_SHINGLES", shingles)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:30], f"slot{i}", *words[30:]])) for i in range(600)] + [(600 + i, " ".join([*words[:10], f"x{i}", *words[10:]])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert columns(pj.near_duplicates(docs)) == brute_near(rows)
+    sketched = c.staged(pj.sketch(docs, 80), "x")
+    found = c.staged(pj.candidates(c.staged(pj.shared_keys(sketched, 4), "x"), sketched, 80, 4), "x")
+    assert found.where("bits is not null").count() and found.where("bits is null").count() < (10_000 if tile == 1024 else 70_000)
 
 
 def test_components(spark):
