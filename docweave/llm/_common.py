@@ -15,11 +15,13 @@ SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as a URI without a trailing slash.
 
-    The session's ``spark.checkpoint.dir`` is used as it is. Only where it is unset (tests on one
-    machine) a temporary folder is made and remembered in the session.
+    The session's ``spark.checkpoint.dir`` is used as it is. Only where it is unset and the master is local (tests
+    on one machine) a temporary folder is made and remembered in the session.
     """
     there = spark.conf.get(SETTING, None)
     if not there:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{SETTING} must name a folder that driver and executors share")
         there = "file://" + tempfile.mkdtemp(prefix="docweave-")
         spark.conf.set(SETTING, there)
     if ":" not in there.split("/")[0]:  # no scheme: the cluster's default file system
@@ -31,13 +33,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, what: str) -> str:
     """A new, unused folder below the shared one."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    made = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _MADE.append(made)
+    return made
+
+
+_MADE: list[str] = []
+
+
+def remove(path: str) -> None:
+    """Delete a folder whose rows are no longer needed."""
+    fs, at = filesystem(path)
+    try:
+        fs.delete_dir(at)
+    except FileNotFoundError:
+        pass
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+def clear() -> None:
+    """Delete every folder made so far in this process. Results that still read them must have been written before."""
+    for path in list(_MADE):
+        remove(path)
 
 
 def staged(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage is cut, lost executors cost nothing."""
+    """Write ``df`` to the shared folder and read it again: lineage is cut, lost executors cost nothing.
+
+    ``what`` is a name, or a folder made before."""
     spark = df.sparkSession
-    path = fresh_dir(spark, what)
+    path = what if what in _MADE else fresh_dir(spark, what)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -54,9 +80,12 @@ def parts_for(df: DataFrame, target: int = 128 << 20) -> int:
     return max(conf, -(-plan_bytes(df) // target))
 
 
-def spread(df: DataFrame, below: int = 64 << 20) -> DataFrame:
-    """``df`` over all cores, if it is small: a single row group would be one task's work. Larger inputs are left alone."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if 0 < plan_bytes(df) < below else df
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if a scan would leave some without a task, whatever its size."""
+    execution, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    if execution.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":  # it comes from an exchange
+        return df
+    return df.repartition(cores) if execution.toRdd().getNumPartitions() < cores else df
 
 
 def filesystem(uri: str):

@@ -24,9 +24,12 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     Every round is a written table; rounds end when all edges point to a smallest node.
     """
-    now = c.staged(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+    path = c.fresh_dir(edges.sparkSession, "stars")
+    now = c.staged(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), path)
     for _ in range(most):
-        now = c.staged(_stars(_stars(now, True), False), "stars")
+        path, before = c.fresh_dir(now.sparkSession, "stars"), path
+        now = c.staged(_stars(_stars(now, True), False), path)
+        c.remove(before)
         # Done when no node is both a child and a root, and no child has two roots.
         roots = now.select(F.col("v").alias("u")).distinct()
         doubles = now.groupBy("u").count().where("count > 1").select("u")

@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import logging
 import re
+import secrets
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -44,6 +46,11 @@ _PATTERNS = {
 _STARTS = {kind: re.compile(f"(?=({p.pattern.replace('(?P<', '(?P<_')}))".replace("(?P=s)", "(?P=_s)").replace("(?P=s2)", "(?P=_s2)")) for kind, p in _PATTERNS.items()}
 
 
+#: Of the countries in the ISO 13616 register; others may have any length.
+IBAN_LENGTHS = dict(x.split(":") for x in "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 MC:27 MD:24 ME:22 MK:19 MR:27 MT:31 MU:30 NL:18 NO:15 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 SA:24 SC:31 SE:24 SI:19 SK:24 SM:27 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20".split())
+IBAN_LENGTHS = {k: int(v) for k, v in IBAN_LENGTHS.items()}
+
+
 class Permutation:
     """A keyed permutation of range(n) for any n, by a balanced Feistel network and cycle walking."""
 
@@ -124,7 +131,7 @@ def pseudonym(kind: str, value: str, permute) -> str | None:
     if kind == "iban":
         bare = value.replace(" ", "")
         number = lambda s: int("".join(str(int(ch, 36)) for ch in s))
-        if not 15 <= len(bare) <= 34 or number(bare[4:] + bare[:4]) % 97 != 1:
+        if len(bare) != IBAN_LENGTHS.get(bare[:2], len(bare)) or not 15 <= len(bare) <= 34 or number(bare[4:] + bare[:4]) % 97 != 1:
             return None
         low = bare[4:].lower()
         x, n, sizes = _mixed(low)
@@ -218,9 +225,14 @@ def find(text: str) -> list[tuple[int, int, str]]:
             spans.append((a, -b, i, kind))
             if kind == "iban":  # words after it may look like more of it
                 spans += [(a, -(a + len(x)), i, kind) for x in _shorter(m[1])]
+            elif kind == "card" and (more := _FOUR_FOURS.match(m[1])):  # three digits after it may be none of it
+                spans.append((a, -(a + more.end()), i, kind))
     return [(a, -b, kind) for a, b, _, kind in sorted(spans)]
 
 
+_FOUR_FOURS = re.compile(r"(?:\d{4}[ -]){3}\d{4}(?=[ -]\d{3}$)")
+
+
 def _shorter(value: str):
     """``value`` without its last groups, as long as it can be one."""
     while " " in value and len((value := value.rpartition(" ")[0]).replace(" ", "")) >= 15:
@@ -302,8 +314,13 @@ KEY_SETTING = "spark.docweave.pii.key"
 
 
 def key_of(spark) -> bytes:
-    """The session's key; where none is set, a public one that is fit for tests only."""
-    return spark.conf.get(KEY_SETTING, "a public key for tests").encode()
+    """The session's key. Where none is set a random one is drawn and kept in the session's setting, so that nobody
+    else can undo the pseudonyms; whoever wants to link corpora, or restore values later, sets one."""
+    if not (key := spark.conf.get(KEY_SETTING, None)):
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+        logging.getLogger(__name__).warning("%s is not set: pseudonyms are made with a random key of this session", KEY_SETTING)
+    return key.encode()
 
 
 def op5_feistel_pii(spark, sf_dir: str) -> DataFrame:

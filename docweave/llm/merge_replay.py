@@ -59,14 +59,24 @@ class MergeReplay:
         return np.where(self.keys[at] == want, self.values[at], NONE)
 
     def one(self, word: bytes) -> list[int]:
-        """The plain rule for one word: merge the leftmost pair of lowest rank, again and again."""
-        parts, ranks = [word[i : i + 1] for i in range(len(word))], self.ranks
-        while len(parts) > 1:
-            best, at = min((ranks.get(parts[i] + parts[i + 1], NONE), i) for i in range(len(parts) - 1))
-            if best == NONE:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        """The plain rule for one word: merge the leftmost pair of lowest rank, again and again; by a heap of the pairs."""
+        ranks, n = self.ranks, len(word)
+        end = list(range(1, n + 1))  # of the part that begins here, 0 where none begins
+        before = list(range(-1, n - 1))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            if not end[i] or end[i] >= n or not end[end[i]] or end[end[i]] != stop:
+                continue  # a merge took one of the two
+            end[end[i]], end[i] = 0, stop
+            if stop < n:
+                before[stop] = i
+                if (r := ranks.get(word[i : end[stop]])) is not None:
+                    heapq.heappush(heap, (r, i, end[stop]))
+            if (p := before[i]) >= 0 and (r := ranks.get(word[p:stop])) is not None:
+                heapq.heappush(heap, (r, p, stop))
+        return [ranks[word[i : end[i]]] for i in range(n) if end[i]]
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each word."""
@@ -178,9 +188,13 @@ class MergeReplay:
 class Encoder:
     """Whole texts to id bytes: cut into pieces, new pieces split by the pattern, new words replayed."""
 
-    def __init__(self, ranks_path: str, pattern: str, limit: int = 700_000):
+    #: A longer piece is hardly met again.
+    LONGEST = 64
+
+    def __init__(self, ranks_path: str, pattern: str, limit: int = 200 << 20):
+        """``limit``: bytes, about, of the pieces kept."""
         ranks = load_ranks(ranks_path)
-        self.replay, self.split, self.limit = MergeReplay(ranks), splitter(pattern), limit
+        self.replay, self.split, self.limit, self.held = MergeReplay(ranks), splitter(pattern), limit, 0
         self.known: dict[str, bytes] = {}
         self.tokens = dict(zip(ranks.values(), ranks.keys()))
 
@@ -205,9 +219,11 @@ class Encoder:
         new: set[str] = set()
         for t in texts:
             new.update([p for p in self.cut(t) if p not in known])
-        if len(known) + len(new) > self.limit:
+        cost = sum(250 + 8 * len(p) for p in new if len(p) <= self.LONGEST)
+        if self.held + cost > self.limit:
             known.clear()
-            new = {p for t in texts for p in self.cut(t)}
+            self.held, new = 0, {p for t in texts for p in self.cut(t)}
+        self.held += cost
         pieces = list(new)
         split = [self.words(p) for p in pieces]
         index: dict[str, int] = {}
@@ -217,7 +233,11 @@ class Encoder:
         ids = self.replay.encode([w.encode() for w in index])
         for p, ws in zip(pieces, split):
             known[p] = b"".join([ids[index[w]] for w in ws])
-        return [b"".join(map(known.__getitem__, self.cut(t))) for t in texts]
+        out = [b"".join(map(known.__getitem__, self.cut(t))) for t in texts]
+        for p in pieces:
+            if len(p) > self.LONGEST:
+                del known[p]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

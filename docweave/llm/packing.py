@@ -9,8 +9,8 @@ over pieces.
 Only lengths travel: token ids are never shuffled. Pieces are spread by a hash over groups of about
 ``group_pieces``, each packed by one task; a hash spreads any source or run of copies evenly. A group
 leaves at most a few bins unfilled; those (less than ``full`` of a bin) are taken apart and packed once
-more together, by the same rule in fewer groups, so the number of partly filled bins does not grow with
-the number of groups.
+more together, by the same rule in as many groups as they need, so the number of partly filled bins does not grow with
+the number of groups, and no group grows, also where no two pieces fit a bin and every bin is left over.
 
 Defined results: a null or empty text is one piece that has the end id alone; texts of any length are cut
 whole; rows alike in key and text are packed separately, each as a document of its own, told apart by
@@ -169,8 +169,8 @@ def pack(pieces: DataFrame, size: int, group_pieces: int = 100_000, full: float
     n = rest.count()
     groups = max(1, -(-n // group_pieces))
     first = c.staged(_pack_groups(rest, size, groups, 0), "pack-first")
-    good = first.where(F.col("filled") >= full * size)
-    again = _pack_groups(first.where(F.col("filled") < full * size), size, max(1, -(-groups // 64)), 1)
+    good, over = first.where(F.col("filled") >= full * size), first.where(F.col("filled") < full * size)
+    again = _pack_groups(over, size, max(1, -(-over.count() // group_pieces)), 1)
     # A piece that fills a sequence needs no packing: its own key numbers it.
     alone = whole.withColumn("sequence_id", -1 - F.col("serial"))
     alone = alone.withColumn("offset", F.lit(0).cast("long")).withColumn("filled", F.col("length"))

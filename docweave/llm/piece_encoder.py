@@ -32,21 +32,26 @@ def _byte_letters() -> dict[int, str]:
     return {k: "".join(letter[b] for b in chr(k).encode()) for k in range(128, 0x250)}
 
 
-def load(path: str):
+def load(path: str, special_as_text: bool = False):
+    """The library's tokenizer; strings of special tokens inside a text are those tokens, as it has them, or ordinary text."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # special strings inside a text are ordinary text
+    tokenizer.encode_special_tokens = special_as_text
     return tokenizer
 
 
 class _Pieces:
-    """Keeps up to ``limit`` pieces with the little-endian unsigned 32-bit bytes of their ids."""
+    """Keeps pieces with the little-endian unsigned 32-bit bytes of their ids, about ``limit`` bytes in all."""
 
-    def __init__(self, tokenizer, limit: int = 1_500_000):
-        self.tokenizer, self.limit = tokenizer, limit
+    def __init__(self, tokenizer, limit: int = 300 << 20):
+        self.tokenizer, self.limit, self.held = tokenizer, limit, 0
         self.known: dict[str, bytes] = {}
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        #: A text with an added token goes to the library whole. What they all begin with is looked for first.
+        self.begin = re.match(r"[^A-Za-z]*", os.path.commonprefix(added) if added else "\0")[0]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
         self.letters, self.model = _byte_letters(), tokenizer.model
         self.id_bytes = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
 
@@ -56,18 +61,21 @@ class _Pieces:
     def encode(self, texts: list[str]) -> list[bytes]:
         out, known = [], self.known
         for text in texts:
-            pieces = self.cut(text)
+            pieces = None if self.begin in text and self.added.search(text) else self.cut(text)
             if pieces is None:
                 out.append(self.whole(text))
                 continue
             new = [p for p in pieces if p not in known]
             if new:
-                if len(known) + len(new) > self.limit:
+                new = list(dict.fromkeys(new))
+                cost = sum([300 if len(p) < 9 else 300 + 8 * len(p) for p in new if len(p) <= _LONGEST])
+                if self.held + cost > self.limit:
                     known.clear()
-                    new = pieces
-                self.learn(list(dict.fromkeys(new)))
+                    self.held, new = 0, list(dict.fromkeys(pieces))
+                self.held += cost
+                self.learn(new)
             out.append(b"".join(map(known.__getitem__, pieces)))
-            for p in new:
+            for p in new:  # a long piece is hardly met again
                 if len(p) > _LONGEST:
                     known.pop(p, None)
         return out
@@ -88,7 +96,7 @@ class ByteLevelPieces(_Pieces):
     a run inside the text; ``\1`` and newlines are the run that ends the text.
     """
 
-    def __init__(self, tokenizer, limit: int = 1_500_000):
+    def __init__(self, tokenizer, limit: int = 300 << 20):
         super().__init__(tokenizer, limit)
         self.newline = self.whole("\n")
         self.stops = {c: self.whole(c) for c in _STOPS}
@@ -152,7 +160,7 @@ class WordPieces(_Pieces):
     #: A separator whose first byte occurs in no piece that is learnt in bulk.
     MARK = "\u4e00"
 
-    def __init__(self, tokenizer, limit: int = 1_500_000):
+    def __init__(self, tokenizer, limit: int = 300 << 20):
         super().__init__(tokenizer, limit)
         self.stops = {c: self.whole(c) for c in _STOPS}
         self.mark = tokenizer.encode(self.MARK, add_special_tokens=False).ids

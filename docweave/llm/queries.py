@@ -44,8 +44,17 @@ def _rule_sql(n: int = 0) -> str:
 
 
 def _hits_sql(terms) -> str:
+    """The terms that a URL has between boundaries, as a list."""
     names = ", ".join(f"'{t}'" for t in terms)
-    return rf"len([x FOR x IN [{names}] IF regexp_matches(low, '(^|[^\p{{L}}\p{{N}}])' || x || '($|[^\p{{L}}\p{{N}}])')])"
+    return rf"[x FOR x IN [{names}] IF contains(low, x) AND regexp_matches(low, '(^|[^\p{{L}}\p{{N}}])' || x || '($|[^\p{{L}}\p{{N}}])')]"
+
+
+def _weights_sql() -> str:
+    """The sum of the weights of soft terms found."""
+    by: dict[int, list[str]] = {}
+    for term, weight in url_vocabulary.SOFT.items():
+        by.setdefault(weight, []).append(f"'{term}'")
+    return " + ".join(f"{w} * len([x FOR x IN w IF x IN ({', '.join(ts)})])" for w, ts in by.items())
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -70,7 +79,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
                           CASE WHEN contains(url, '://') THEN translate(url, '{_UPPER}', '{_LOWER}') ELSE '' END AS low FROM pages),
         h AS (SELECT *, {_rule_sql()} AS rule, {_rule_sql(1)} AS told, {_hits_sql(url_vocabulary.STRICT)} AS s, {_hits_sql(url_vocabulary.SOFT)} AS w FROM u)
-        SELECT page_id, host, path, rule, coalesce(told, CASE WHEN s >= 1 OR w >= 2 THEN 'block' ELSE 'allow' END) AS verdict FROM h
+        SELECT page_id, host, path, rule, coalesce(told, CASE WHEN len(s) >= 1 OR len(w) >= {url_vocabulary.SOFT_DISTINCT} AND {_weights_sql()} >= {url_vocabulary.SOFT_WEIGHT} THEN 'block' ELSE 'allow' END) AS verdict FROM h
     """,
     "op7_grace_dedup": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents),

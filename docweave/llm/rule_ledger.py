@@ -6,7 +6,7 @@ or asking what a rule alone rejects needs only bitwise operations on the ledger,
 
 Words are runs of characters other than ``[\x20\x09-\x0D]``; lines are parted by ``\n``. A null or empty
 text has no word, so it fails the rule for short texts; texts of any length are measured whole; equal rows
-get equal results. Only the key and text columns are read, so other columns cannot clash. An empty table
+get equal results; a null key stays null. Only the key and text columns are read, so other columns cannot clash. An empty table
 gives an empty ledger.
 """
 
@@ -64,17 +64,18 @@ LEDGER = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(m,
 
 
 class _Measurer:
-    """Measures texts; words get numbers that live as long as the task's process."""
+    """Measures texts; words get numbers that live as long as the task's process, in a table of about ``limit`` bytes."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 160 << 20):
         self.number: dict[str, int] = {}
-        self.limit = limit
+        self.limit, self.size = limit, 0
 
     def numbers(self, words: list[str]) -> np.ndarray:
         number = self.number
         for w in words:
             if w not in number:
                 number[w] = len(number)
+                self.size += 150 + 2 * len(w)
         return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
 
     @staticmethod
@@ -101,8 +102,9 @@ class _Measurer:
     def __call__(self, text: str) -> tuple[int, ...]:
         words = (text.translate(_BLANKS) if any(x in text for x in "\t\x0b\x0c\r") else text).replace("\n", " ").split(" ")
         words = [w for w in words if w] if "" in words else words
-        if len(self.number) > self.limit:
+        if self.size > self.limit:
             self.number.clear()
+            self.size = 0
         ids = self.numbers(words)
         lines = text.split("\n")
         kept = [x for x in lines if x.strip(" \t\x0b\x0c\r")]

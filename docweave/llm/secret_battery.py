@@ -9,17 +9,21 @@ true keys and near 0 for words and identifiers.
 
 The tests have less power on short strings, so the cut is set per encoding and length class from the whole
 corpus: with the p-values' histogram, Storey's estimate of the random share says how many of those at or above
-a cut are noise, and the lowest cut whose estimated false-discovery rate is within ``alpha`` is taken. A class of few
-candidates borrows from the lengths next to it, then from the other encodings. The histogram counts distinct strings. Only
+a cut are noise, and the lowest cut whose estimated false-discovery rate is within ``alpha`` is taken. Joint p-values of
+uniform strings are not quite uniform (the tests are asymptotic and share their input), so the null is the histogram of
+simulated strings of the same alphabet and length. No candidate with a p-value below 0.01 is reported. A class of few
+candidates borrows from the lengths next to it, then from the other encodings; where all that is too little for a good estimate,
+none below 0.05 is reported, and all from 0.5 are. The histogram counts distinct strings. Only
 that histogram (encodings x length classes x bins, a fixed number of rows) reaches the driver.
 
-Defined results: a null or empty text has no span; texts of any length are scanned whole; equal texts get
+Defined results: a null key stays null; a null or empty text has no span; texts of any length are scanned whole; equal texts get
 equal spans; an empty table gives no row. Only key and text columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import math
 import re
@@ -56,6 +60,8 @@ _SPLITS = [re.compile(f"[^{x}]{{20,}}") for x in ("/", "_-", "/+_-")]
 _SETS = [(n, frozenset(a), {ch: i for i, ch in enumerate(a)}) for n, a in ENCODINGS]
 _ALONE = [n for n, _ in ENCODINGS].index("digits")
 BINS = 200
+#: Bins below which nothing is reported: p-values under 0.01, under 0.05 where candidates are few.
+FLOOR, THIN_FLOOR = 2, 10
 #: Distinct candidates from which a cell stands for itself.
 ENOUGH = 200
 SPAN = T.StructType().add("start", "integer").add("kind", "integer").add("end", "integer")
@@ -209,18 +215,44 @@ def pooled(histogram: dict[int, list[int]]) -> dict[int, list[int]]:
     return out
 
 
-def cuts(histogram: dict[int, list[int]], alpha: float) -> dict[int, int]:
+@functools.cache
+def null_tail(cell: int, rows: int = 4000) -> tuple[float, ...]:
+    """Share of uniform strings of a cell's alphabet and length whose p-value is in bin b or above, for each b; by simulation."""
+    import numpy as np
+
+    encoding, length = divmod(cell, 16)
+    size, n = len(ENCODINGS[encoding][1]), int(20 * 2 ** ((length + 0.5) / 4))
+    x = np.random.default_rng(cell).integers(0, size, (rows, n))
+    counts = np.stack([np.bincount(r, minlength=size) for r in x])
+    high = 2 * x >= size
+    up = high.sum(axis=1)
+    mean = 2 * up * (n - up) / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    runs = 1 + (high[:, 1:] != high[:, :-1]).sum(axis=1)
+    d = x - x.mean(axis=1, keepdims=True)
+    serial = (d[:, 1:] * d[:, :-1]).sum(axis=1) / (d * d).sum(axis=1)
+    bins = np.zeros(BINS)
+    for i in range(rows):
+        uniform = chi_squared_p(float((counts[i].astype(float) ** 2).sum()) * size / n - n, size - 1)
+        runs_p = 2 * _upper_normal(abs(runs[i] - mean[i]) / math.sqrt(var[i])) if var[i] > 0 else 1.0
+        p = joint_p((uniform, min(1.0, runs_p), min(1.0, 2 * _upper_normal(abs(serial[i] + 1 / n) * math.sqrt(n)))))
+        bins[min(BINS - 1, int(p * BINS))] += 1
+    return tuple((bins[::-1].cumsum()[::-1] / rows).tolist())
+
+
+def cuts(histogram: dict[int, list[int]], alpha: float, null=null_tail) -> dict[int, int]:
     """Per cell the lowest bin from which candidates count as random."""
     out = {}
     for cell, counts in pooled(histogram).items():
-        upper = sum(counts[BINS // 2 :])
-        per_bin = 2 * upper / BINS  # of noise, were its p-values uniform
-        flagged, best = 0, BINS
-        for b in range(BINS - 1, -1, -1):
+        tail, half = null(cell), BINS // 2
+        upper = sum(counts[half:])
+        strings = upper / max(tail[half], 1e-9)  # random ones in all
+        thin = sum(counts) < ENOUGH  # for an estimate
+        flagged, best = 0, half if thin else BINS
+        for b in range(BINS - 1, (THIN_FLOOR if thin else FLOOR) - 1, -1):
             flagged += counts[b]
-            noise = per_bin * (BINS - b)
-            if flagged and 1 - min(1.0, noise / flagged) <= alpha:
-                best = b
+            if flagged and 1 - min(1.0, strings * tail[b] / flagged) <= alpha:
+                best = min(best, b)
         out[cell] = best
     return out
 

@@ -9,9 +9,11 @@ A chunk holds ``block`` ids (the last one fewer) of 32 bits. They are transposed
 index: first id, number of ids, file position, crc32 of the ids and the plane lengths. ``documents`` holds
 each document's key and number of ids. The footer has the two positions, the block size and the layout.
 
-Defined results: a null or empty text has the end id alone; a null key sorts first; repeated keys are
+Defined results: a null or empty text has the end id alone; a text of any length is encoded whole, and its ids, which must
+fit a task's memory, may span chunks; a null key sorts first; repeated keys are
 ordered by a hash of their text, so rows that tie fully are alike; an empty table
-makes no shard and returns no row. Only the key and text columns are read, so others cannot clash.
+makes no shard and returns no row. Only the key and text columns are read, so others cannot clash. Strings of special
+tokens in a text are what the library makes of them.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,8 +71,7 @@ class ShardWriter:
         self.out, self.at = fs.open_output_stream(self.temporary), 0
         self.pending: list[bytes] = []
         self.waiting = self.n_ids = self.crc = 0
-        self.keys: list[int] = []
-        self.counts: list[int] = []
+        self.keys, self.counts = array("q"), array("q")
         self.chunks: list[tuple] = []
         self._write(MAGIC)
 
@@ -104,7 +106,7 @@ class ShardWriter:
 
     def close(self) -> dict:
         self._flush(last=True)
-        docs = self.compress(np.array([self.keys, self.counts], dtype="<i8").tobytes())
+        docs = self.compress(np.array([*map(np.asarray, (self.keys, self.counts))], dtype="<i8").tobytes())
         chunks = self.compress(np.array(self.chunks, dtype="<i8").tobytes())
         docs_at, chunks_at = self.at, self.at + len(docs)
         self._write(docs)
@@ -163,11 +165,11 @@ class ShardReader:
         self.file.close()
 
 
-def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = 0, layout: str = "byte", block: int = 1 << 16, shard_ids: int = 64 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = 0, layout: str = "byte", block: int = 1 << 16, shard_ids: int = 64 << 20, shard_docs: int = 4 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode ``docs`` and write shards to ``folder`` in ascending key order; returns the manifest.
 
     Rows are range-partitioned by key (and text hash, so a repeated key spreads), each task rolls files of
-    at most about ``shard_ids`` ids. A retried task writes the same bytes to the same names. The manifest is
+    at most about ``shard_ids`` ids and ``shard_docs`` documents. A retried task writes the same bytes to the same names. The manifest is
     written beside the shards and has a row for each.
     """
     from pyspark import TaskContext
@@ -197,7 +199,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id
                 if writer is None:
                     writer = ShardWriter(fs, path, f"{part:06d}-{roll:05d}.planes", layout, block)
                 writer.add(NO_KEY if k is None else k, ids + end)
-                if writer.n_ids + writer.waiting >= shard_ids:
+                if writer.n_ids + writer.waiting >= shard_ids or len(writer.keys) >= shard_docs:
                     yield done()
                     roll, writer = roll + 1, None
         if writer is not None:

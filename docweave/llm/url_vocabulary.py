@@ -7,12 +7,13 @@ counts only between boundaries (no letter or digit on either side), one strict t
 soft ones reject.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and is allowed; a URL of any
-length is searched whole; repeated rows get equal results; an empty table gives none. Only the key and URL
-columns are read.
+length is searched whole; a null key stays null; repeated rows get equal results; an empty table gives none. Only the key and URL
+columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 import pandas as pd
@@ -32,12 +33,29 @@ class UrlRule:
 
 RULES = (UrlRule("block", "com", "/en/"), UrlRule("allow", "example.com", "/en/7"), UrlRule("allow", "net", "/de/"), UrlRule("block", "example.net", "/de/8"), UrlRule("block", "org", "/es/"))
 
-#: One hit rejects. Terms are compared in lower case (A-Z).
-STRICT = ("porn", "xxx", "casino", "viagra", "cheap-pills", "adult", "sex", "escort", "torrent", "warez", "casino-bonus", "phishing", "malware")
-#: Several distinct hits reject; weights add up.
-SOFT = {"free": 1, "win": 1, "bonus": 1, "bet": 1, "poker": 2, "pills": 2, "pharma": 1, "dating": 1, "hot": 1, "cheap": 1, "loan": 1, "crack": 1, "download": 1, "spam": 2, "click": 1, "deal": 1, "prize": 1, "xx": 1}
-SOFT_DISTINCT, SOFT_WEIGHT = 2, 2
+TERMS = os.path.join(os.path.dirname(__file__), "url_terms.tsv")
+#: Distinct soft terms and their sum of weights from which a URL is rejected: a strong term needs any other, weak ones each other in number.
+SOFT_DISTINCT, SOFT_WEIGHT = 2, 4
+
+
+def load_terms(path: str = TERMS) -> tuple[tuple[str, ...], dict[str, int]]:
+    """Strict terms, and soft ones with weights, of a file of lines ``term <tab> strict or weight``; A-Z are lower-cased."""
+    strict, soft = [], {}
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            if line.strip() and not line.startswith("#"):
+                term, _, weight = line.rstrip("\n").partition("\t")
+                term = term.translate(_TABLE)
+                if weight == "strict":
+                    strict.append(term)
+                else:
+                    soft[term] = int(weight)
+    return tuple(strict), soft
+
+
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_TABLE = str.maketrans(*_LOWER)
+STRICT, SOFT = load_terms()
 HITS = T.StructType().add("n_strict", "integer").add("n_soft", "integer").add("soft_weight", "integer").add("terms", "string")
 
 
@@ -83,7 +101,6 @@ def hits_of(url: str, found) -> tuple[set[str], dict[str, int]]:
     return strict, soft
 
 
-_TABLE = str.maketrans(*_LOWER)
 _FOUND = None
 
 

@@ -7,8 +7,9 @@ same bytes. A file is written under a temporary name and renamed when complete;
 SHA-256 digests are written last, and a reader trusts only files that the manifest names.
 
 Of records with equal payloads, the one with the largest key is written as ``response``, the others as
-``revisit`` of it, without payload. Which one that is comes from a pre-aggregated exchange of digests only:
-each input row looks its digest's answer up under a salt, so a payload shared by a third of all rows spreads.
+``revisit`` of it, without payload. Which one that is comes from a pre-aggregated exchange of digests only, which are
+computed once and written: each input row looks its digest's answer up under a salt, so a payload shared by a third of all rows
+spreads. A file begins with a ``warcinfo`` record.
 
 Defined results: a null payload is empty; payloads below ``least`` bytes are always responses; payloads of any
 length are kept whole; rows with a null key sort first and are nobody's original unless all keys of the payload
@@ -62,6 +63,13 @@ def build(key, url: str | None, payload: bytes, digest: str, original, n_payload
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def info(name: str, date: str = DATE) -> bytes:
+    """The ``warcinfo`` record of a file."""
+    block = b"software: docweave\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(name, 'warcinfo')}", f"WARC-Date: {date}", f"WARC-Filename: {name}", f"WARC-Block-Digest: sha1:{digest_of(block)}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def member(record: bytes, level: int = 6) -> bytes:
     """One gzip member with no time or name in it."""
     z = zlib.compressobj(level, zlib.DEFLATED, 31)
@@ -121,19 +129,23 @@ def originals(rows: DataFrame, least: int) -> DataFrame:
     return best.where(F.col("n_equal") > 1).select("digest", "original", F.explode("salts").alias("salt"))
 
 
-def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, roll_bytes: int = 1 << 30) -> DataFrame:
-    """Write archives to ``folder``; returns the manifest, which is written there last."""
+def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, roll_bytes: int = 1 << 30, date: str | None = None) -> DataFrame:
+    """Write archives to ``folder``; returns the manifest, which is written there last.
+
+    ``date`` names a timestamp column of crawl times (session's time zone); without it, and where it is null, records have ``DATE``.
+    """
     from pyspark import TaskContext
 
     body = F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), body.alias("payload"))
+    when = F.coalesce(F.date_format(F.col(date).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(DATE)) if date else F.lit(DATE)
+    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), body.alias("payload"), when.alias("date"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("n", F.octet_length("payload").cast("long")).withColumn("salt", F.pmod(F.xxhash64("key", "url"), F.lit(SALTS)).cast("int"))
-    small = rows.select("key", "url", "digest", "n", "salt")
+    small = c.staged(rows.select("key", "url", "digest", "n", "salt"), "warc-digests")
     found = originals(small, least)
     revisits = small.join(found, ["digest", "salt"]).where(F.col("original") != F.coalesce("key", F.lit(-(1 << 63)))).groupBy("key", "url", "digest").agg(F.first("original").alias("original"))
     # Payloads are exchanged once, by the sort. What makes a row a revisit comes as a row of its own just before it.
-    told = revisits.select("key", "url", F.lit(None).cast("binary").alias("payload"), "digest", F.lit(None).cast("long").alias("n"), "original")
-    work = rows.select("key", "url", "payload", "digest", "n", F.lit(None).cast("long").alias("original")).unionByName(told)
+    told = revisits.select("key", "url", F.lit(None).cast("binary").alias("payload"), "digest", F.lit(None).cast("long").alias("n"), "original", F.lit(DATE).alias("date"))
+    work = rows.select("key", "url", "payload", "digest", "n", F.lit(None).cast("long").alias("original"), "date").unionByName(told)
     work = work.repartitionByRange(c.parts_for(pages), "key", "url", "digest").sortWithinPartitions("key", "url", "digest", F.col("n").asc_nulls_first())
     schema = pa.schema([("file", pa.string()), ("part", pa.int32()), ("roll", pa.int32()), ("n_records", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string())])
 
@@ -147,14 +159,15 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
             return pa.RecordBatch.from_pylist([{"file": f"{part:06d}-{roll:05d}.warc.gz", "part": part, "roll": roll, **out.close()}], schema=schema)
 
         for batch in c.slices(batches):
-            for k, u, p, d, n, original in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for k, u, p, d, n, original, at in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if n is None:
                     revisit = (k, u, d, original)
                     continue
                 original = revisit[3] if revisit[:3] == (k, u, d) else None
                 if out is None:
                     out = WarcFile(fs, path, f"{part:06d}-{roll:05d}.warc.gz")
-                out.add(build(k, u, p, base64.b32encode(d).decode(), original, n))
+                    out.add(info(f"{part:06d}-{roll:05d}.warc.gz"))
+                out.add(build(k, u, p, base64.b32encode(d).decode(), original, n, at))
                 if out.size >= roll_bytes:
                     yield done()
                     out, roll = None, roll + 1
@@ -180,9 +193,12 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
                 out, n = [], 0
                 with fs.open_input_stream(f"{path}/{m['file']}", compression=None) as f:
                     for headers, block in read_records(f):
-                        digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                         if headers["WARC-Block-Digest"] != f"sha1:{digest_of(block)}":
                             raise ValueError("a block differs from its digest")
+                        n += 1
+                        if headers["WARC-Type"] == "warcinfo":
+                            continue
+                        digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                         http, _, payload = block.partition(b"\r\n\r\n")
                         length = int(re.search(rb"Content-Length: (\d+)", http)[1])
                         kind = headers["WARC-Type"]
@@ -190,7 +206,6 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
                             raise ValueError("a payload differs from its digest")
                         key, to = headers["X-Key"], headers.get("X-Refers-To-Key")
                         out.append((int(key) if key else None, length, digest, kind, int(to) if to else None))
-                        n += 1
                         if len(out) == 4096:
                             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), schema)], schema=schema)
                             out = []

@@ -58,3 +58,9 @@ def words_of(text):
     import re
 
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+@pytest.fixture(scope="session", autouse=True)
+def pii_key(spark):
+    """PII pseudonyms of the tests are made with a key that brute force knows."""
+    spark.conf.set("spark.docweave.pii.key", "a public key for tests")

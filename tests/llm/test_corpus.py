@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from docweave.llm import _common as c, components, grace_dedup as gd, parity_join as pj, warc_writer as ww
 
@@ -293,6 +294,10 @@ def test_warc(spark, roll, least):
 
 def test_warc_bytes_are_the_same_again(spark):
     pages = spark.createDataFrame(WARC_ROWS, "page_id long, url string, html string")
+    folder = c.fresh_dir(spark, "w")
+    first = ww.write_warc(pages.limit(1).withColumn("at", F.expr("timestamp '2020-01-02 03:04:05'")), folder, date="at").first()
+    fs, path = c.filesystem(folder)
+    assert b"WARC-Date: 2020-01-02T03:04:05Z" in gzip.decompress(fs.open_input_file(f"{path}/{first.file}").read())
     sums = []
     for parts in (1, 5):
         folder = c.fresh_dir(spark, "w")
@@ -300,7 +305,7 @@ def test_warc_bytes_are_the_same_again(spark):
         fs, path = c.filesystem(folder)
         data = b"".join(gzip.decompress(fs.open_input_file(f"{path}/{x.file}").read()) for x in m)
         sums.append(hashlib.sha256(data).hexdigest())
-        assert b"bad url" in data and data.count(b"WARC/1.1\r\n") == len(WARC_ROWS)
+        assert b"bad url" in data and data.count(b"WARC/1.1\r\n") == len(WARC_ROWS) + len(m) == data.count(b"WARC-Record-ID") and data.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
         for x in m:
             assert hashlib.sha256(fs.open_input_file(f"{path}/{x.file}").read()).hexdigest() == x.sha256
         assert not [f.path for f in fs.get_file_info(__import__("pyarrow").fs.FileSelector(path)) if "_temporary" in f.path]

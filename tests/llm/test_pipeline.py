@@ -75,6 +75,22 @@ def test_length_alone_rejects_no_document(spark, tmp_path):
     assert rl.keep_good(docs, "strict-1").count() == 0  # a stored version stays as it was
 
 
+def test_nulls_repeats_ties_and_clashing_columns(spark, tmp_path):
+    """Two clusters with null keys, repeated rows and copies: one row of each stays, no cluster is lost, other columns pass."""
+    r = np.random.default_rng(3)
+    prose = lambda: " ".join("".join(r.choice(list("abcdefghijklmnop"), 5)) for _ in range(80))
+    a, b, z = prose(), prose(), prose()
+    texts = [(1, a), (1, a), (None, a + " more"), (7, b), (None, b + " other"), (None, b + " other"), (None, z), (None, z), (None, z.replace(" ", "\n", 1)), (None, None), (3, ""), (3, ""), (4, "too short")]
+    rows = [(k, t, "h", 5, None, 9) for k, t in texts]
+    spark.createDataFrame(rows, "doc_id long, text string, h string, row_number long, n_words int, id long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert docs.columns == ["doc_id", "text", "h", "row_number", "n_words", "id"]
+    assert sorted((x.doc_id or 0, x.text[:20]) for x in docs.collect()) == sorted([(0, z[:20]), (1, a[:20]), (7, b[:20])])
+    assert sorted(x.doc_id or 0 for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [0, 1, 7]
+
+
 def test_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

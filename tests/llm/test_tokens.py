@@ -6,14 +6,15 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers as P
 import pytest
-from hypothesis import given, settings, strategies as hs
+from hypothesis import example, given, settings, strategies as hs
+from tokenizers import Tokenizer
 
 from docweave.llm import merge_replay, packing, token_planes as tp
 from docweave.llm import _common as c
 from docweave.llm.piece_encoder import ByteLevelPieces, WordPieces, load
 
-BYTE, WORD = load(P.path("byte_bpe_50k.json")), load(P.path("word_bpe_49k.json"))
-BYTE_PIECES, WORD_PIECES = ByteLevelPieces(BYTE), WordPieces(WORD)
+BYTE, WORD = Tokenizer.from_file(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+BYTE_PIECES, WORD_PIECES = ByteLevelPieces(load(P.path("byte_bpe_50k.json"))), WordPieces(load(P.path("word_bpe_49k.json")))
 REPLAY = merge_replay.Encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 ALPHABET = "  \n\nabcÉé1,.'s\t\x1c\x85\xa0\u3000\u4e00 ́ΣİßA\r<|endoftext|>\0\1\2aaaa"
 
@@ -35,7 +36,9 @@ def le(ids):
 
 
 @settings(max_examples=300, deadline=None)
-@given(hs.text(alphabet=ALPHABET, max_size=30))
+@given(hs.one_of(hs.text(alphabet=ALPHABET, max_size=30), hs.lists(hs.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", " ", "\n", "ab", "c."]), max_size=8).map("".join)))
+@example("hello <|endoftext|> world")
+@example("<|startoftext|>a<|ENDOFTEXT|> b")
 def test_cached_pieces_are_the_librarys(text):
     assert BYTE_PIECES.encode([text]) == [le(BYTE.encode(text, add_special_tokens=False).ids)]
     assert WORD_PIECES.encode([text]) == [le(WORD.encode(text, add_special_tokens=False).ids)]
@@ -63,6 +66,36 @@ def test_replay_follows_the_plain_rule_on_odd_vocabularies():
             assert got == (le([ranks[w]]) if w in ranks else le(m.one(w))), w
 
 
+def test_special_tokens_may_be_ordinary_text():
+    pieces = ByteLevelPieces(load(P.path("byte_bpe_50k.json"), special_as_text=True))
+    assert pieces.encode(["a <|endoftext|> b"]) == [le(tiktoken_ids("a <|endoftext|> b"))] != BYTE_PIECES.encode(["a <|endoftext|> b"])
+
+
+def test_the_plain_rule_by_a_heap():
+    """Against the rule as it is said, on words of few letters."""
+    r = random.Random(5)
+    for _ in range(60):
+        ranks = {bytes([b]): b for b in range(256)}
+        while len(ranks) < 256 + 25:
+            ranks.setdefault(bytes(r.choice(b"ab") for _ in range(r.randrange(2, 6))), len(ranks))
+        m = merge_replay.MergeReplay(ranks)
+        for _ in range(40):
+            word = bytes(r.choice(b"ab") for _ in range(r.randrange(1, 25)))
+            parts = [word[i : i + 1] for i in range(len(word))]
+            while len(parts) > 1 and (best := min((ranks.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))))[0] < 1 << 40:
+                parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+            assert m.one(word) == [ranks[x] for x in parts]
+    assert len(merge_replay.MergeReplay(ranks).one(b"ab" * 200_000)) > 1  # not quadratic
+
+
+def test_groups_of_the_second_pass_stay_small(spark):
+    """No two pieces fit a bin, so every bin is left over: groups are as small as in the first pass."""
+    pieces = spark.range(3000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "2500L AS length", "0L AS ids_crc32", "id AS serial")
+    got = packing.pack(c.staged(pieces, "p"), 4096, group_pieces=100)
+    assert got.count() == got.select("sequence_id").distinct().count() == 3000
+    assert got.where("sequence_id >> 62 = 1").selectExpr("sequence_id >> 34 AS g").groupBy("g").count().agg({"count": "max"}).first()[0] < 200
+
+
 def test_cache_is_bounded_and_right():
     small = ByteLevelPieces(BYTE, limit=10)
     texts = ["alpha beta gamma delta", "epsilon zeta eta theta iota kappa lambda", "alpha beta"]
