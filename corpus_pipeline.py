@@ -2,6 +2,11 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
 return the columns of ``docs``; each works on everything its predecessor kept.
+
+Defined results: null and empty texts have too few words and go in the first stage; texts of any length are treated whole; of
+rows that repeat, tie or are near each other exactly one stays, that of the smallest key (of exact copies the longest one
+first), and any one where no key is there; a null key links nothing and stays null; other columns pass through whatever their
+names; an empty table gives an empty result. Pseudonyms are made with the key in ``spark.docweave.pii.key``.
 """
 
 from __future__ import annotations
