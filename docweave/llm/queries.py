@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from . import rule_ledger, url_vocabulary
 from .feistel_pii import op5_feistel_pii
 from .grace_dedup import op7_grace_dedup
@@ -43,17 +45,21 @@ def _rule_sql(n: int = 0) -> str:
     return f"CASE {' '.join(whens)} END"
 
 
+def _apart(term: str) -> str:
+    """A term as it stands in a URL whose separators have spaces about them."""
+    return "' " + re.sub(r"([^\w])", r" \1 ", term) + " '"
+
+
 def _hits_sql(terms) -> str:
     """The terms that a URL has between boundaries, as a list."""
-    names = ", ".join(f"'{t}'" for t in terms)
-    return rf"[x FOR x IN [{names}] IF contains(low, x) AND regexp_matches(low, '(^|[^\p{{L}}\p{{N}}])' || x || '($|[^\p{{L}}\p{{N}}])')]"
+    return f"[x FOR x IN [{', '.join(map(_apart, terms))}] IF contains(low, x)]"
 
 
 def _weights_sql() -> str:
     """The sum of the weights of soft terms found."""
     by: dict[int, list[str]] = {}
     for term, weight in url_vocabulary.SOFT.items():
-        by.setdefault(weight, []).append(f"'{term}'")
+        by.setdefault(weight, []).append(_apart(term))
     return " + ".join(f"{w} * len([x FOR x IN w IF x IN ({', '.join(ts)})])" for w, ts in by.items())
 
 
@@ -77,7 +83,7 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op6_url_vocabulary": rf"""
         WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
-                          CASE WHEN contains(url, '://') THEN translate(url, '{_UPPER}', '{_LOWER}') ELSE '' END AS low FROM pages),
+                          CASE WHEN contains(url, '://') THEN ' ' || regexp_replace(translate(url, '{_UPPER}', '{_LOWER}'), '([^\p{{L}}\p{{N}}])', ' \1 ', 'g') || ' ' ELSE '' END AS low FROM pages),
         h AS (SELECT *, {_rule_sql()} AS rule, {_rule_sql(1)} AS told, {_hits_sql(url_vocabulary.STRICT)} AS s, {_hits_sql(url_vocabulary.SOFT)} AS w FROM u)
         SELECT page_id, host, path, rule, coalesce(told, CASE WHEN len(s) >= 1 OR len(w) >= {url_vocabulary.SOFT_DISTINCT} AND {_weights_sql()} >= {url_vocabulary.SOFT_WEIGHT} THEN 'block' ELSE 'allow' END) AS verdict FROM h
     """,
