@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--sha1")
     a.add_argument("--overwrite", action="store_true")
     a.add_argument("--retry-failed", action="store_true")
+    a.add_argument("--log-updates", action="store_true", help="also write the results as JSON lines below WORKSPACE/updates")
     a.add_argument("--cost-threshold", type=float, default=5.0)
     a.add_argument("--yes", action="store_true", help="go on above the threshold")
     a = verbs.add_parser("export", help="run exports of a configuration")
@@ -69,7 +70,7 @@ def main(argv: list[str] | None = None) -> int:
         folder = os.path.dirname(os.path.abspath(args.config)) if args.config else "."
         if args.verb == "enrich":
             key = {"sha1": args.sha1} if args.sha1 else None
-            done = runner.enrich(ws, config, args.enrichments, args.model, args.table, args.limit, args.overwrite, args.where, key, args.retry_failed, args.cost_threshold, (lambda _: True) if args.yes else None, folder=folder)
+            done = runner.enrich(ws, config, args.enrichments, args.model, args.table, args.limit, args.overwrite, args.where, key, args.retry_failed, args.cost_threshold, (lambda _: True) if args.yes else None, folder=folder, log_updates=args.log_updates)
             for o in done:
                 print(o)
             return int(any(o.stopped for o in done))

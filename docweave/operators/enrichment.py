@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any, Protocol
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.codecs import repair
 from ..plans.schema import Schema
 from .assembly import full_prompt, truncate_input
+from .providers import service
 from .storage import attempt_id
 
 
@@ -76,7 +78,14 @@ def register_provider(prefix: str, factory: Callable[[], Provider]) -> None:
 
 
 def provider_for(model: str) -> Callable[[], Provider]:
-    return next((f for p, f in reversed(_PROVIDERS.items()) if p in model), StubProvider)
+    """The registered factory whose prefix the model's name holds, else that of the two services; an error for any other model."""
+    own = next((f for p, f in reversed(_PROVIDERS.items()) if p in model and (p != "stub" or model.startswith(p))), None)
+    return own or service(model)
+
+
+def served(model: str) -> bool:
+    """Whether a registered factory (the stub's included) serves the model."""
+    return any(p in model and (p != "stub" or model.startswith(p)) for p in _PROVIDERS)
 
 
 @dataclass
@@ -93,13 +102,17 @@ class Task:
     temperature: float = 0.0
     attempts: int = 3
     margin: int = 2000
+    free_text: bool = False  # ask for text, with instructions on its form in the prompt, instead of a structured answer
 
 
 def with_prompts(rows: DataFrame, task: Task) -> DataFrame:
     """``full_prompt`` per row: the template filled in, then the inputs, cut to the model's window."""
     values = {x.partition(":")[0].strip(): F.col(f"`{x.partition(':')[0].strip()}`") for x in task.inputs}
     short = {n: truncate_input(F.lit(task.template), F.coalesce(v.cast("string"), F.lit("")), task.model, task.margin) for n, v in values.items()}
-    return rows.withColumn("full_prompt", full_prompt(task.template, short))
+    prompt = full_prompt(task.template, short)
+    if task.free_text:
+        prompt = F.concat(prompt, F.lit("\n\n" + task.schema.instructions()))
+    return rows.withColumn("full_prompt", prompt)
 
 
 def _parse(answer: str) -> str | None:
@@ -113,14 +126,29 @@ def _parse(answer: str) -> str | None:
     return None
 
 
+def as_object(answer: str, fields: list[dict]) -> str:
+    """A free text as the JSON object that the schema reads: the object in it, or its whole text as the only field's value."""
+    healed = repair(answer).strip()
+    if (found := _parse(healed)) is not None:
+        return found
+    if len(fields) != 1:
+        raise ValueError("the answer is not JSON")
+    bare = re.sub(r"^```\w*\s*|\s*```$", "", healed)
+    try:
+        value = json.loads(bare)
+    except ValueError:
+        value = bare
+    return json.dumps({fields[0]["name"]: value}, ensure_ascii=False)
+
+
 def call_model(rows: DataFrame, task: Task, factory: Callable[[], Provider] | None = None, language: Callable[[dict], str | None] | None = None) -> DataFrame:
-    """One model call per row with retries for a wrong language only.
+    """One model call per row with retries for a wrong language only; structured, or free text whose broken encoding is repaired.
 
     The call sits in ``mapInPandas``, which the optimizer neither repeats nor moves filters through. Errors are data.
     """
     factory = factory or provider_for(task.model)
     fields = [{"name": f.name, "kind": f.kind, "choices": f.choices, "many": f.many, "minimum": f.minimum, "maximum": f.maximum, "lang": f.lang} for f in task.schema.fields]
-    model, system, temperature, attempts = task.model, task.system, task.temperature, task.attempts
+    model, system, temperature, attempts, free = task.model, task.system, task.temperature, task.attempts, task.free_text
     check = language or _language_problem
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,8 +160,11 @@ def call_model(rows: DataFrame, task: Task, factory: Callable[[], Provider] | No
                 attempt = 0
                 for attempt in range(1, attempts + 1):
                     try:
-                        answer = provider.generate_structured(prompt, system, model, fields, temperature)
-                        raw = _parse(answer)
+                        if free:
+                            raw = as_object(provider.generate_text(prompt, system, model, temperature), fields)
+                        else:
+                            answer = provider.generate_structured(prompt, system, model, fields, temperature)
+                            raw = _parse(answer)
                         if raw is None:
                             raw, error = repair(answer), "the answer is not JSON"
                             break
@@ -158,10 +189,10 @@ def _language_problem(answer: dict, fields: list[dict]) -> str | None:
     return None
 
 
-def audited(calls: DataFrame, task: Task, prompt_id: str | None = None, now: Column | None = None) -> DataFrame:
-    """Calls as audit rows, success and failure alike."""
+def audited(calls: DataFrame, task: Task, prompt_id: str | None = None, now: Column | None = None, run: str | None = None) -> DataFrame:
+    """Calls as audit rows, success and failure alike. ``run`` tells the attempts of one run from those of another."""
     return calls.select(
-        attempt_id(F.col("sha1"), F.lit(task.name), F.lit(task.model), F.col("attempt")).alias("enrichment_id"), "sha1", F.lit(task.name).alias("enrichment_name"), "raw_json", F.lit(task.model).alias("model_used"),
+        attempt_id(F.col("sha1"), F.lit(task.name), F.lit(task.model), F.col("attempt"), run).alias("enrichment_id"), "sha1", F.lit(task.name).alias("enrichment_name"), "raw_json", F.lit(task.model).alias("model_used"),
         F.lit(prompt_id).cast("string").alias("prompt_id"), "full_prompt", "error", F.col("attempt").cast("int").alias("attempt"), (F.current_timestamp() if now is None else now).alias("created_at"),
     )
 

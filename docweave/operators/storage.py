@@ -113,9 +113,9 @@ def prompt_usage(registry: DataFrame, audit: DataFrame) -> DataFrame:
     return registry.join(used, "prompt_id", "left").select("prompt_id", "enrichment_name", "prompt_text", "created_at", F.coalesce("n_used", F.lit(0)).alias("n_used")).orderBy(F.desc("created_at"), "prompt_id")
 
 
-def attempt_id(key: Column, name: Column, model: Column, attempt: Column) -> Column:
-    """A reproducible id: the same attempt run twice has the same one."""
-    return F.sha2(F.concat_ws("|", key, name, model, attempt.cast("string")), 256)
+def attempt_id(key: Column, name: Column, model: Column, attempt: Column, run: str | None = None) -> Column:
+    """An id that a retried task makes again, as it is a hash; attempts of different runs (``run``) differ."""
+    return F.sha2(F.concat_ws("|", key, name, model, attempt.cast("string"), *([F.lit(run)] if run else [])), 256)
 
 
 def history(audit: DataFrame, key: str | None = None, name: str | None = None) -> DataFrame:
@@ -125,55 +125,115 @@ def history(audit: DataFrame, key: str | None = None, name: str | None = None) -
     return out.orderBy(F.desc("created_at"), F.desc("enrichment_id"))
 
 
+class Conflict(RuntimeError):
+    """Another writer changed the table between the reading and the writing."""
+
+
 class Table:
-    """A table as versioned folders and a pointer, so that a rewrite is seen whole or not at all.
+    """A table as versioned folders and numbered pointers, so that a rewrite is seen whole or not at all.
 
-    Appends go to new folders too and are named in the pointer. Readers take the version they find.
+    A pointer file names the folders of a version. The next version is made by renaming a finished file to the next number, which
+    fails if another writer has taken it: an append then tries again after that writer's, a replacement raises ``Conflict``
+    because its rows came from an older version. Readers take the version they find.
     """
 
+    KEEP = 20  # pointers; older ones go, with folders that no pointer names
+
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType | None = None):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self._seen: int | None = None
+
+    def _hadoop(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
     def _fs(self):
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _pointer(self) -> list[str]:
-        fs, at = self._fs(), self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
-        if not fs.exists(at):
-            return []
-        return json.loads(bytes(fs.open(at).readAllBytes()).decode())
-
-    def _point(self, folders: list[str]) -> None:
-        fs, path = self._fs(), self.spark._jvm.org.apache.hadoop.fs.Path
-        new = path(f"{self.path}/_current-{uuid.uuid4().hex}")
-        out = fs.create(new, True)
+        return self._hadoop("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        fs, at = self._fs(), self._hadoop(folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+    def _versions(self) -> list[int]:
+        return [int(n) for n in self._names("_pointers") if n.isdigit()]
+
+    def _folders(self, version: int) -> list[str]:
+        return json.loads(bytes(self._fs().open(self._hadoop(f"_pointers/{version:012d}")).readAllBytes()).decode())
+
+    def _pointer(self) -> tuple[int, list[str]]:
+        versions = self._versions()
+        return (versions[-1], self._folders(versions[-1])) if versions else (-1, [])
+
+    def _point(self, folders: list[str], version: int) -> None:
+        """Publish ``folders`` as ``version``; ``Conflict`` if that is there."""
+        new = self._hadoop(f"_pointers/.new-{uuid.uuid4().hex}")
+        out = self._fs().create(new, True)
         out.write(bytearray(json.dumps(folders).encode()))
         out.close()
-        at = path(f"{self.path}/_current")
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.spark._jsc.hadoopConfiguration())
-        flag = getattr(self.spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
-        options = self.spark.sparkContext._gateway.new_array(getattr(self.spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
-        options[0] = flag
-        context.rename(context.makeQualified(new), context.makeQualified(at), options)
+        jvm, at = self.spark._jvm, self._hadoop(f"_pointers/{version:012d}")
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+        options[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").NONE
+        try:
+            context.rename(context.makeQualified(new), context.makeQualified(at), options)
+        except Exception as e:
+            self._fs().delete(new, False)
+            if "FileAlreadyExists" in str(e):
+                raise Conflict(f"{self.path}: version {version} is there already") from e
+            raise
+
+    def exists(self) -> bool:
+        return bool(self._versions())
+
+    def _load(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.option("mergeSchema", str(len(folders) > 1).lower()).parquet(*[f"{self.path}/{f}" for f in folders])
 
     def read(self) -> DataFrame:
-        folders = self._pointer()
+        self._seen, folders = self._pointer()
         if not folders:
             if self.schema is None:
                 raise FileNotFoundError(self.path)
             return self.spark.createDataFrame([], self.schema)
-        reader = self.spark.read.option("mergeSchema", "true")
-        return reader.parquet(*[f"{self.path}/{f}" for f in folders])
+        return self._load(folders)
 
     def _write(self, df: DataFrame) -> str:
         name = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{name}")
         return name
 
-    def append(self, df: DataFrame) -> None:
+    def append(self, df: DataFrame, tries: int = 100) -> DataFrame:
+        """Add rows; returns them as they were written."""
         name = self._write(df)
-        self._point([*self._pointer(), name])
+        for _ in range(tries):
+            version, folders = self._pointer()
+            try:
+                self._point([*folders, name], version + 1)
+                return self._load([name])
+            except Conflict:
+                continue
+        raise Conflict(f"{self.path}: {tries} other writers were faster")
 
     def replace(self, df: DataFrame) -> None:
-        self._point([self._write(df)])
+        """The rows instead of those that this object read last."""
+        name = self._write(df)
+        version = self._pointer()[0] if self._seen is None else self._seen
+        self._point([name], version + 1)
+        self._seen = version + 1
+        self.vacuum()
+
+    def compact(self, above: int = 50) -> None:
+        """One folder instead of more than ``above``."""
+        version, folders = self._pointer()
+        if len(folders) > above:
+            self._point([self._write(self._load(folders))], version + 1)
+            self.vacuum()
+
+    def vacuum(self, keep: int | None = None) -> None:
+        """Remove all but the last ``keep`` pointers, and the folders that only removed ones name; a folder being written has no name yet."""
+        versions = self._versions()
+        old, kept = versions[: -(keep or self.KEEP)], versions[-(keep or self.KEEP) :]
+        named = {f for v in kept for f in self._folders(v)}
+        for v in old:
+            for f in self._folders(v):
+                if f not in named:
+                    self._fs().delete(self._hadoop(f), True)
+            self._fs().delete(self._hadoop(f"_pointers/{v:012d}"), False)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import answers, codecs, text as tx
 from ..operators import assembly as asm, enrichment as enr, search, selection as sel, storage as st
-from ..sources import export as ex, extract, plugins
+from ..sources import export as ex, extract, files, plugins
 from ..sources.tables import read_table, spread
 from . import sql as user_sql
 from .schema import compile_schema
@@ -65,6 +65,13 @@ def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(st.attempt_id(F.col("sha1"), F.lit("classify"), model, F.col("doc_id")).alias("enrichment_id"), "sha1", F.lit("classify").alias("enrichment_name"), model.alias("model_used"), F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string")).alias("prompt_id"), F.when(F.col("toxic") == 1, "failed").alias("error"), F.col("doc_id").alias("created_at"), "quality", "doc_id")
 
 
+# What the text kernel does, as SQL.
+_SQUEEZE = "x"
+for _ch in "!\"#$%&'()*+,-./:;<=>?@[]^`{|}~":
+    _SQUEEZE = f"regexp_replace({_SQUEEZE}, '{('\\' + _ch) if _ch != chr(39) else chr(39) * 2}{{5,}}', '{_ch * 2 if _ch != chr(39) else chr(39) * 4}', 'g')"
+_TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_CLEAN = _TRIM.format(rf"array_to_string([{_SQUEEZE} FOR x IN [{_TRIM.format('y')} FOR y IN string_split(text, chr(10))] IF NOT regexp_matches(x, '^[\s\-_=*+.]*$')], chr(10))")
+
 # The flagship: clean, hash, first of each hash, cut, prompt, answer, check, compare with the labels.
 
 _LANGS = ["de", "en", "es", "fr"]
@@ -85,6 +92,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["enrich_flagship"] = flagship
+ORACLE_SQL["enrich_flagship"] = f"""
+    WITH d AS (SELECT doc_id, lang, {_CLEAN} AS content FROM documents), f AS (SELECT doc_id, lang, content[:500] AS c FROM d QUALIFY row_number() OVER (PARTITION BY sha1(content) ORDER BY doc_id) = 1),
+    p AS (SELECT doc_id, lang, 'Classify this text: ' || c || chr(10) || chr(10) || 'content: ' || c AS prompt FROM f),
+    t AS (SELECT doc_id, lang, (['calm', 'loud', 'other'])[('0x' || left(sha256('stub|tone|' || prompt), 8))::BIGINT % 3 + 1] AS tone FROM p)
+    SELECT lang, tone, count(*) AS n_docs, count(quality) AS n_labelled, coalesce(sum(quality), 0)::BIGINT AS n_good FROM t LEFT JOIN labels USING (doc_id) GROUP BY lang, tone
+"""
 
 # Ingest.
 
@@ -100,11 +113,10 @@ def ingest_new_only(spark, sf_dir):
     return sel.new_documents(docs.where("source <> 'src0'"), docs.where("source = 'src0'")).select("doc_id", "sha1")
 
 
-@query("WITH r AS (SELECT sha1(text) AS sha1, count(*) AS n FROM documents GROUP BY ALL) SELECT 'skipped' AS status, sum(n - 1)::BIGINT AS n FROM r UNION ALL SELECT 'success', count(*) FROM r")
+@query("SELECT CASE WHEN trim(regexp_replace(html, '<[^>]*>', '', 'g')) = '' THEN 'failed' ELSE 'success' END AS status, count(*) AS n FROM pages GROUP BY ALL")
 def ingest_counters(spark, sf_dir):
-    groups = documents(spark, sf_dir).groupBy("sha1").agg(F.count(F.lit(1)).alias("n"))
-    one = groups.agg(F.sum(F.col("n") - 1).alias("skipped"), F.count(F.lit(1)).alias("success"))
-    return one.select(F.inline(F.array(*[F.struct(F.lit(s).alias("status"), F.col(s).alias("n")) for s in ("skipped", "success")])))
+    pages = texts(spark, sf_dir, "pages", "html").select(F.trim(F.regexp_replace("html", "<[^>]*>", "")).alias("content"))
+    return files.counters(pages.select(F.when(F.col("content") == "", "failed").otherwise("success").alias("status")))
 
 
 _NAMES = ["report.pdf", ".hidden", "Thumbs.db", "notes conflict.txt", "film.MP4", "archive.tar", "server_log.md", "blog.html", "plain.txt", "IgnoreList", "run.log", "photo.JPG", "a.b.docx", "catalog"]
@@ -129,13 +141,6 @@ def file_skip_rules(spark, sf_dir):
 
 # Text.
 
-_SQUEEZE = "x"
-for _ch in "!\"#$%&'()*+,-./:;<=>?@[]^`{|}~":
-    _SQUEEZE = f"regexp_replace({_SQUEEZE}, '{('\\' + _ch) if _ch != chr(39) else chr(39) * 2}{{5,}}', '{_ch * 2 if _ch != chr(39) else chr(39) * 4}', 'g')"
-_TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
-_CLEAN = _TRIM.format(rf"array_to_string([{_SQUEEZE} FOR x IN [{_TRIM.format('y')} FOR y IN string_split(text, chr(10))] IF NOT regexp_matches(x, '^[\s\-_=*+.]*$')], chr(10))")
-
-
 @query(f"SELECT doc_id, {_CLEAN} AS content FROM (SELECT doc_id, replace(text, '. ', '. =====' || chr(10) || '*** ' || chr(10) || ' ') AS text FROM documents)")
 def clean_text(spark, sf_dir):
     rows = texts(spark, sf_dir).select("doc_id", F.replace("text", F.lit(". "), F.lit(". =====\n*** \n ")).alias("text"))
@@ -155,7 +160,20 @@ def text_quality_flags(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", (F.length(t) < 100).alias("short"), (tx.alnum_ratio(t) < 0.15).alias("few_letters"), (tx.control_ratio(t) > 0.1).alias("many_controls"))
 
 
-@query()
+# Without back references: a unit of k characters comes n times where k (n - 1) characters in a row equal those k places on.
+@query(
+    f"""
+    WITH s AS (SELECT doc_id, text, string_split(text, '') AS cs FROM documents), c AS (SELECT doc_id, unnest(cs) AS c, unnest(range(len(cs))) AS i FROM s),
+    e AS (SELECT doc_id, k, i, c = lead(c, k) OVER (PARTITION BY doc_id, k ORDER BY i) AND c <> chr(10) AS same FROM c, range(1, 11) r(k)),
+    g AS (SELECT doc_id, k, same, i - row_number() OVER (PARTITION BY doc_id, k, same ORDER BY i) AS island FROM e),
+    m AS (SELECT doc_id, k, count(*) AS n FROM g WHERE same GROUP BY doc_id, k, island),
+    f AS (SELECT doc_id, bool_or(k = 1 AND n >= 20) AS long_run, bool_or(n >= 10 * k) AS repeated_unit FROM m GROUP BY doc_id)
+    SELECT doc_id, coalesce(long_run, false) AS long_run, coalesce(repeated_unit, false) AS repeated_unit,
+           length(text) < 100 OR coalesce(long_run, false) OR length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) < 0.15 * length(text) AS text_garbage,
+           length({_TRIM.format('text')}) < 50 OR coalesce(repeated_unit, false) OR length(regexp_replace(text, '[^\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')) > 0.1 * length(text) AS content_garbage
+    FROM s LEFT JOIN f USING (doc_id)
+    """
+)
 def text_repetition_flags(spark, sf_dir):
     t, run, unit = F.col("text"), F.col("long_run"), F.col("repeated_unit")
     flags = texts(spark, sf_dir).select("doc_id", "text", tx.has_long_run(t).alias("long_run"), tx.has_repeated_unit(t).alias("repeated_unit"))
@@ -183,15 +201,19 @@ def mojibake_score(spark, sf_dir):
     return rows.select("doc_id", tx.mojibake_count(F.col("x")).alias("n_broken"), tx.is_mojibake(F.col("x")).alias("broken"))
 
 
-@query()
+# Every third text as it is; the others as UTF-8 read as Latin-1, with as many accents as show it.
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE repeat('é', length(text) // 4 + 10) || regexp_replace(text, '[^\x00-\x7F]', '', 'g') END AS text FROM documents")
 def mojibake_fix(spark, sf_dir):
-    return texts(spark, sf_dir).select("doc_id", codecs.fix_mojibake(_broken()).alias("text"))
+    marked = F.concat(F.expr("repeat('é', length(text) div 4 + 10)"), F.regexp_replace("text", r"[^\x00-\x7F]", ""))
+    broken = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.replace(marked, F.lit("é"), F.lit("Ã©")))
+    return texts(spark, sf_dir).select("doc_id", codecs.fix_mojibake(broken).alias("text"))
 
 
-@query("SELECT doc_id, text AS text FROM documents WHERE NOT regexp_matches(text, '[ÃÂâ]')")
+# Letters that begin a wrongly decoded sequence stay out of the broken texts: they are written as others before.
+@query("SELECT doc_id, translate(text, 'ÃÂâ', 'AAa') AS text FROM documents")
 def mixed_encoding_fix(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where(~F.col("text").rlike("[ÃÂâ]"))
-    broken = F.col("text")
+    rows = table(spark, sf_dir, "documents")
+    broken = F.translate("text", "ÃÂâ", "AAa")
     for good, bad in (("é", "Ã©"), ("è", "Ã¨"), ("ü", "Ã¼"), ("ñ", "Ã±"), ("ö", "Ã¶"), ("ç", "Ã§"), ("ä", "Ã¤"), ("ô", "Ã´")):
         broken = F.replace(broken, F.lit(good), F.lit(bad))
     return rows.select("doc_id", tx.fix_mixed_encoding(F.concat(F.lit("﻿"), broken)).alias("text"))
@@ -225,7 +247,18 @@ def html_title(spark, sf_dir):
     return texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", _html(extract.html_title)(F.col("html")).alias("title"))
 
 
-@query()
+# Pages without markup: character references of these pages, and tags; script and style go with their text.
+def _plain_sql(text: str) -> str:
+    for name, sign in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = f"replace({text}, '{name}', '{sign}')"
+    return text
+
+
+_BARE = r"regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '<x>', 'g'), '(?s)<!--.*?-->', '<x>', 'g')"
+_NODES = rf"[x FOR x IN [{_TRIM.format(_plain_sql('y'))} FOR y IN string_split_regex({_BARE}, '<[^>]*>')] IF x <> '']"
+
+
+@query(f"SELECT page_id, array_to_string({_NODES}, chr(10)) AS content FROM pages")
 def html_default(spark, sf_dir):
     return texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", _html(extract.html_text)(F.col("html")).alias("content"))
 
@@ -273,11 +306,11 @@ def select_overwrite(spark, sf_dir):
     return sel.select_rows(_labelled(spark, sf_dir), "overwrite", "quality", where="lang = 'en'").select("doc_id", "lang")
 
 
-@query("SELECT doc_id, sha1(text) AS sha1 FROM documents WHERE sha1(text) = (SELECT sha1(text) FROM documents WHERE doc_id = 7)")
+@query("SELECT doc_id, sha1(text) AS sha1 FROM documents WHERE sha1(text) = sha1('') OR doc_id = 7")
 def select_by_key(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "sha1")
-    one = docs.where("doc_id = 7").select(F.col("sha1").alias("_k")).distinct()
-    return docs.join(one, F.col("sha1") == F.col("_k"), "left_semi")
+    by_id = sel.select_rows(docs, key={"doc_id": 7})
+    return by_id.unionByName(sel.select_rows(docs, key={"sha1": "da39a3ee5e6b4b0d3255bfef95601890afd80709"})).distinct()
 
 
 @query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 25")
@@ -306,10 +339,10 @@ def assemble_inputs(spark, sf_dir):
 _TEMPLATE = "Source {source}, language {lang}. Text: {documents.text}"
 
 
-@query("SELECT doc_id, 'Source ' || source || ', language ' || lang || '. Text: ' || left(text, 200) || chr(10) || chr(10) || 'source: ' || source || chr(10) || 'lang: ' || lang || chr(10) || 'documents.text: ' || left(text, 200) AS prompt FROM documents")
+@query("SELECT doc_id, 'Source ' || source || ', language ' || lang || '. Text: ' || text || chr(10) || chr(10) || 'source: ' || source || chr(10) || 'lang: ' || lang || chr(10) || 'documents.text: ' || text AS prompt FROM documents")
 def prompt_render(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", asm.full_prompt(_TEMPLATE, {"source": F.col("source"), "lang": F.col("lang"), "documents.text": F.substring("text", 1, 200)}).alias("prompt"))
+    return docs.select("doc_id", asm.full_prompt(_TEMPLATE, {"source": F.col("source"), "lang": F.col("lang"), "documents.text": F.col("text")}).alias("prompt"))
 
 
 @query(
@@ -409,14 +442,14 @@ def validate_schema(spark, sf_dir):
 
 @query(
     """
-    WITH o AS (SELECT doc_id, quality::BIGINT AS score, 'old' AS note FROM labels WHERE doc_id % 2 = 0), n AS (SELECT doc_id, n_chars AS score, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END AS note FROM documents WHERE doc_id % 4 = 0 OR doc_id % 5 = 0)
+    WITH o AS (SELECT doc_id, quality::BIGINT AS score, 'old' AS note FROM labels), n AS (SELECT doc_id + 10 AS doc_id, n_chars AS score, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END AS note FROM documents)
     SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.score, o.score) AS score, coalesce(n.note, o.note) AS note FROM o FULL JOIN n ON o.doc_id = n.doc_id
     """
 )
 def derived_upsert(spark, sf_dir):
-    old = table(spark, sf_dir, "labels").where("doc_id % 2 = 0").select("doc_id", F.col("quality").cast("long").alias("score"), F.lit("old").alias("note"))
+    old = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("score"), F.lit("old").alias("note"))
     note = F.when(F.col("doc_id") % 6 == 0, "Null").when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("lang"))
-    new = table(spark, sf_dir, "documents").where("doc_id % 4 = 0 OR doc_id % 5 = 0").select("doc_id", F.col("n_chars").alias("score"), note.alias("note"))
+    new = table(spark, sf_dir, "documents").select((F.col("doc_id") + 10).alias("doc_id"), F.col("n_chars").alias("score"), note.alias("note"))
     return st.upsert(old, new, ["doc_id"])
 
 
@@ -431,9 +464,9 @@ def audit_latest(spark, sf_dir):
     return sel.latest_per(_audit(spark, sf_dir).select("sha1", "model_used", "created_at", "enrichment_id"), ["sha1"]).select("sha1", "model_used", "created_at")
 
 
-@query(f"WITH a AS ({_AUDIT}) SELECT enrichment_id, created_at FROM a ORDER BY created_at DESC LIMIT 100")
+@query(f"WITH a AS ({_AUDIT}) SELECT enrichment_id, created_at FROM a WHERE enrichment_name = 'classify' ORDER BY created_at DESC, enrichment_id DESC LIMIT 100")
 def audit_history_top(spark, sf_dir):
-    return sel.newest(_audit(spark, sf_dir).select("enrichment_id", "created_at"), 100)
+    return st.history(_audit(spark, sf_dir), name="classify").select("enrichment_id", "created_at").limit(100)
 
 
 @query("SELECT DISTINCT source AS enrichment_name, sha256(source || '|classify ' || lang || '|') AS prompt_hash, left(sha256(source || '|classify ' || lang || '|'), 32) AS prompt_id FROM documents WHERE lang <> 'en' UNION SELECT DISTINCT source, sha256(source || '|classify en|'), 'known' FROM documents WHERE lang = 'en'")
@@ -519,7 +552,8 @@ def export_rendered(spark, sf_dir):
 
 @query("SELECT lang, count(*) AS n, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM documents GROUP BY lang")
 def export_group_concat(spark, sf_dir):
-    return user_sql.run_query(spark, "SELECT lang, count(*) AS n, array_join(array_sort(collect_set(source)), ',') AS sources FROM documents GROUP BY lang", {"documents": table(spark, sf_dir, "documents")})
+    rows = user_sql.run_query(spark, "SELECT lang, count(*) AS n, GROUP_CONCAT(DISTINCT source) AS sources FROM documents GROUP BY lang", {"documents": table(spark, sf_dir, "documents")})
+    return rows.withColumn("sources", F.array_join(F.array_sort(F.split("sources", ",")), ","))  # its order is not defined
 
 
 # Bibliography.
@@ -585,14 +619,16 @@ def fts_search(spark, sf_dir):
 def fts_bm25(spark, sf_dir):
     docs = texts(spark, sf_dir)
     n, mean = docs.agg(F.count(F.lit(1)), F.avg(F.size(search.tokens(F.col("text"))))).first()
-    scored = search.bm25(search.postings(docs, "doc_id", ["text"]), "doc_id", ["password", "license", "queue"], n, mean or 1.0)
+    terms = ["password", "license", "queue"]
+    scored = search.bm25(search.postings(docs, "doc_id", ["text"], terms), "doc_id", terms, n, mean or 1.0)
     return scored.select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, 2::BIGINT AS n_tags, event_type = 'click' AS has_click FROM events")
 def json_tags(spark, sf_dir):
-    tags = F.from_json(F.to_json(F.array("event_type", F.lit("x"))), "array<string>")
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.size(tags).cast("long").alias("n_tags"), F.array_contains(tags, "click").alias("has_click"))
+    events = table(spark, sf_dir, "events").withColumn("tags", F.to_json(F.array("event_type", F.lit("x"))))
+    text = "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_array_length(tags) AS BIGINT) AS n_tags, tags LIKE '%\"CLICK\"%' AS has_click FROM events"
+    return user_sql.run_query(spark, text, {"events": events})
 
 
 @query("SELECT n_regionkey::BIGINT AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS position, n_name AS name, 'zh-' || n_nationkey AS evidence_cn FROM nation")
@@ -637,9 +673,9 @@ def metadata_normalise(spark, sf_dir):
     return rows.select("c_custkey", F.col("m")["seg_ment_x"].alias("value"), F.map_keys("m").alias("keys"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'given' WHEN length(t) BETWEEN 50 AND 2000 THEN t END AS abstract FROM (SELECT doc_id, trim(regexp_replace(left(text, 180), '\\s+', ' ', 'g')) AS t FROM documents)")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'given' WHEN length(t) BETWEEN 50 AND 2000 THEN t END AS abstract FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)")
 def abstract_extract(spark, sf_dir):
-    body = F.trim(F.regexp_replace(F.substring("text", 1, 180), r"\s+", " "))
+    body = F.trim(F.regexp_replace("text", r"\s+", " "))
     meta = F.struct(F.when(F.col("doc_id") % 2 == 0, "given").alias("abstract"))
     text = F.concat(F.lit("Some title\n\nAbstract\n"), body, F.lit("\n\nMain part"))
     return table(spark, sf_dir, "documents").select("doc_id", tx.abstract_of(meta, text).alias("abstract"))

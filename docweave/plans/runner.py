@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -33,7 +34,7 @@ class Workspace:
         fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(fs_path):
             return []
-        return sorted(s.getPath().getName() for s in fs.listStatus(fs_path) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_current")))
+        return sorted(s.getPath().getName() for s in fs.listStatus(fs_path) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_pointers")))
 
     def has(self, name: str) -> bool:
         return name in self.names()
@@ -76,13 +77,15 @@ class Outcome:
     n_results: int = 0
     n_rejected: int = 0
     stopped: str | None = None
+    updates: str | None = None
 
 
-def enrich(ws: Workspace, config: dict, names: str | None = None, model: str | None = None, table: str | None = None, limit: int | None = None, overwrite: bool = False, where: str | None = None, key: dict | None = None, retry_failed: bool = False, threshold: float = 5.0, confirm: Callable[[float], bool] | None = None, factory: Callable[[], enr.Provider] | None = None, folder: str = ".") -> list[Outcome]:
+def enrich(ws: Workspace, config: dict, names: str | None = None, model: str | None = None, table: str | None = None, limit: int | None = None, overwrite: bool = False, where: str | None = None, key: dict | None = None, retry_failed: bool = False, threshold: float = 5.0, confirm: Callable[[float], bool] | None = None, factory: Callable[[], enr.Provider] | None = None, folder: str = ".", log_updates: bool = False) -> list[Outcome]:
     """Tasks of a configuration: rows chosen, prompts made, models asked, answers audited and results stored.
 
     For each model: rows with an attempt on record or a stored result are skipped unless overwriting; a cost above
-    ``threshold`` needs ``confirm``. Every table of a task is worked on, and results come from the written audit.
+    ``threshold`` needs ``confirm``. Every table of a task is worked on, and results come from the written audit. A model must be
+    on the price list or have a registered provider. ``log_updates`` also writes the results as JSON lines below ``updates``.
     """
     out = []
     for plan in [cf.plan_task(t, config) for t in cf.choose_tasks(config, names)]:
@@ -90,21 +93,41 @@ def enrich(ws: Workspace, config: dict, names: str | None = None, model: str | N
         sources = [table] if table else plan.tables or [None]
         for source in sources:
             for one in [m.strip() for m in model.split(",")] if model else plan.models:
-                out.append(_enrich_one(ws, config, plan, source, one, mode, limit, where, key, retry_failed, threshold, confirm, factory, folder))
+                out.append(_enrich_one(ws, config, plan, source, one, mode, limit, where, key, retry_failed, threshold, confirm, factory, folder, log_updates))
     return out
 
 
-def _enrich_one(ws, config, plan, source, model, mode, limit, where, key, retry_failed, threshold, confirm, factory, folder) -> Outcome:
+def check_inputs(inputs: list[str], rows: DataFrame, frames: dict[str, DataFrame], source: str, task: str) -> None:
+    """Every input column must be in the query's rows, or in the table that it names."""
+    missing = []
+    for spec in inputs:
+        table, _, column = asm.parse_input(spec)[0].rpartition(".")
+        there = rows.columns if table in ("", source) else frames[table].columns if table in frames else []
+        if column not in there:
+            missing.append(f"{task}: no input column {spec.partition(':')[0]}; there are {', '.join(sorted(there)) or 'no such table'}")
+    if missing:
+        raise cf.ConfigError(missing)
+
+
+def _enrich_one(ws, config, plan, source, model, mode, limit, where, key, retry_failed, threshold, confirm, factory, folder, log_updates=False) -> Outcome:
+    if factory is None and not enr.served(model):
+        if not asm.allowed_model(model):
+            raise cf.ConfigError([f"{plan.name}: unknown model {model}"])
+        factory = enr.provider_for(model)
     frames = ws.frames()
     named = config.get("sql_queries") or {}
     base = (config.get("tables") or {}).get(source) or {}
     text = (base.get("base_query") if isinstance(base, dict) else None) or plan.query or f"SELECT * FROM {source}"
     source = source or DOCUMENTS
-    rows = sql.run_query(ws.spark, text, frames, named)
+    rows = sql.run_query(ws.spark, text, frames, named, rowid=True)
     if plan.key not in rows.columns:
-        raise cf.ConfigError([f"{plan.name}: the query has no column {plan.key}"])
+        if "rowid" not in rows.columns or source not in frames or plan.key not in frames[source].columns:
+            raise cf.ConfigError([f"{plan.name}: the query has no column {plan.key}"])
+        keys = sql.with_rowid(frames[source]).select(F.col("rowid").alias("_rowid"), plan.key)  # found by the row id
+        rows = rows.join(keys, rows["rowid"] == keys["_rowid"]).drop("_rowid")
+    check_inputs(plan.inputs, rows, frames, source, plan.name)
     direct = plan.output_column if plan.output_column in rows.columns else None
-    rows = sel.select_rows(rows, mode, direct, where or plan.where, key, limit, order=plan.key)
+    rows = sel.select_rows(rows, mode, direct, where or plan.where, key, limit, order="rowid" if "rowid" in rows.columns else plan.key)
     audit = ws.table(AUDIT)
     if mode == "append":
         stored = frames.get(plan.output_table) if plan.output_table else None
@@ -125,11 +148,14 @@ def _enrich_one(ws, config, plan, source, model, mode, limit, where, key, retry_
     prompts = ws.table(PROMPTS)
     prompts.replace(st.register_prompts(prompts.read(), wanted))
     prompt_id = prompts.read().where((F.col("enrichment_name") == plan.name) & (F.col("prompt_hash") == st.prompt_hash(F.lit(plan.name), F.lit(prompt), F.lit(plan.system).cast("string")))).first().prompt_id
-    before = audit.read().select("enrichment_id", "created_at")
-    audit.append(enr.audited(enr.call_model(asked, task, factory), task, prompt_id))
-    fresh = audit.read().join(before, ["enrichment_id", "created_at"], "left_anti")
+    run = uuid.uuid4().hex
+    fresh = audit.append(enr.audited(enr.call_model(asked, task, factory), task, prompt_id, run=run))  # as written, and nothing else
+    audit.compact()
     latest = sel.latest_per(fresh, ["sha1"])
     results = enr.results(latest, task)
+    if log_updates:
+        outcome.updates = f"{ws.root}/updates/{plan.name}-{run}"
+        results.write.json(outcome.updates)
     outcome.n_results, outcome.n_rejected = results.count(), enr.rejected(latest, task).count()
     results = results.withColumnRenamed("sha1", plan.key)
     if plan.output_table:

@@ -7,6 +7,7 @@ it then takes the task's output column as its name.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field as _field
 from typing import Any
 
@@ -62,6 +63,16 @@ class Field:
             return T.StructType([T.StructField(p.name, p.data_type) for p in self.properties]) if self.properties else T.MapType(T.StringType(), T.StringType())
         return _TYPES[self.kind]
 
+    def instructions(self) -> str:
+        """The field's form in words."""
+        if self.choices:
+            names = ", ".join(json.dumps(x, ensure_ascii=False) for x in self.choices)
+            out = f"a JSON array of values from {names}" if self.many else f"exactly one of {names}, spelt as here"
+        else:
+            out = {"string": "text", "integer": "a whole number", "float": "a number", "boolean": "true or false", "array": "a JSON array", "object": "a JSON object"}[self.kind]
+        told = [(self.minimum, "at least {}"), (self.maximum, "at most {}"), (self.min_length, "at least {} characters"), (self.max_length, "at most {} characters"), (self.min_items, "at least {} items"), (self.max_items, "at most {} items"), (self.pattern, "matching {}"), (self.lang and {"zh": "Chinese", "en": "English"}.get(self.lang, self.lang), "in {}"), (self.unique and self.many or None, "none of them twice"), (self.optional or None, "null if unknown"), (self.description, "{}")]
+        return "; ".join([out, *[text.format(v) for v, text in told if v is not None]])
+
     # Raw values arrive as the text of their JSON value.
     def value(self, raw: Column) -> Column:
         """The typed value, null where it cannot be one. Converted last."""
@@ -181,6 +192,12 @@ class Schema:
         errors = F.concat(unreadable, *[f.errors(of(f)) for f in self.fields])
         return F.struct(*[f.value(of(f)).alias(f.name) for f in self.fields], errors.alias("errors"))
 
+    def instructions(self) -> str:
+        """What a prompt for free text says about the form of the answer."""
+        if not self.is_simple:
+            return "Answer with one JSON object and nothing else. It has these keys:\n" + "\n".join(f"- {f.name}: {f.instructions()}" for f in self.fields)
+        return f"Answer with the value alone, without explanation: {self.fields[0].instructions()}"
+
     def output_tokens(self) -> int:
         """Estimated tokens of one answer: 50, and for each field by its kind. A field of choices counts as short text."""
         total = 50
@@ -194,6 +211,12 @@ class Schema:
         return total
 
 
+def complexity(spec: Any) -> dict[str, Any]:
+    """How a schema is stored: one field goes into a column, several into a table of their own."""
+    names = compile_schema(spec).names if isinstance(spec, dict) and spec else []
+    return {"field_count": len(names), "is_simple": len(names) == 1, "is_complex": len(names) > 1, "field_names": names, "requires_separate_table": len(names) > 1}
+
+
 def compile_schema(spec: Any, output: str | None = None, all_optional: bool = False) -> Schema:
     """A mapping of fields, or a single field that takes the name ``output``."""
     single = not isinstance(spec, dict) or bool({"enum", "enum_list"} & set(spec)) or isinstance(spec.get("type"), str) and spec["type"] in _KINDS and set(spec) <= {"type", "choices", "optional", "nullable", "items", "properties", "required", *_CONSTRAINTS}

@@ -1,6 +1,6 @@
 """Text out of file bytes: pure functions on bytes and text, run inside vectorised Python functions.
 
-Formats that need outside programs (PDF, OCR, MOBI, DJVU) go through ``register_extractor``.
+Formats that need outside programs (PDF, OCR, MOBI, DjVu, old Word files) are read by ``programs``.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from html.parser import HTMLParser
 
 from ..functions.codecs import decode_bytes
 from ..functions.text import fix_mixed_encoding_py
+from . import programs
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HIDDEN = frozenset(("noscript", "script", "style"))
@@ -262,8 +263,7 @@ _EXTRACTORS: dict[str, Callable[[bytes], str]] = {
     ".mhtml": lambda b: html_smart(mhtml_html(b)),
     ".mht": lambda b: html_smart(mhtml_html(b)),
 }
-#: Known, but only through an outside program that a plugin calls.
-NEEDS_PLUGIN = (".pdf", ".mobi", ".azw", ".azw3", ".djvu", ".doc")
+_EXTRACTORS |= programs.EXTRACTORS  # these need outside programs
 
 
 def register_extractor(suffix: str, extractor: Callable[[bytes], str]) -> None:
@@ -271,13 +271,13 @@ def register_extractor(suffix: str, extractor: Callable[[bytes], str]) -> None:
     _EXTRACTORS[suffix.lower()] = extractor
 
 
-def extract(suffix: str, data: bytes | None) -> tuple[str | None, str | None]:
-    """(text, error) of a file's bytes; exactly one is set."""
+def extract(suffix: str, data: bytes | None, path: str | None = None) -> tuple[str | None, str | None]:
+    """(text, error) of a file's bytes; exactly one is set. ``path`` is where results of OCR are kept beside."""
     found = _EXTRACTORS.get(suffix)
     if found is None:
-        return None, f"{suffix or 'no suffix'}: {'needs an extractor plugin' if suffix in NEEDS_PLUGIN else 'unsupported'}"
+        return None, f"{suffix or 'no suffix'}: unsupported"
     try:
-        text = found(data or b"")
+        text = programs.pdf_text(data or b"", path)[0] if suffix == ".pdf" and path and found is programs.EXTRACTORS[".pdf"] else found(data or b"")
     except Exception as e:  # noqa: BLE001 - a bad file is a row with an error
         return None, f"{type(e).__name__}: {e}"
     return (text, None) if text.strip() else (None, "no text in it")

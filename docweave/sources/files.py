@@ -46,20 +46,37 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def find_manifest(folder: str) -> str | None:
-    """The manifest in the input's root, if there is one."""
-    at = os.path.join(folder.removeprefix("file://"), MANIFEST)
-    return at if os.path.isfile(at) else None
+    """The manifest in the input's root, if there is one; on any file system."""
+    from pyarrow import fs
+
+    if "://" not in folder:
+        at = os.path.join(folder, MANIFEST)
+        return at if os.path.isfile(at) else None
+    system, at = fs.FileSystem.from_uri(folder)
+    return f"{folder.rstrip('/')}/{MANIFEST}" if system.get_file_info(f"{at.rstrip('/')}/{MANIFEST}").type == fs.FileType.File else None
+
+
+def read_bytes(path: str) -> bytes:
+    """A file's bytes, on whatever file system, from inside a task."""
+    import re
+
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+    with system.open_input_file(at) as f:
+        return f.read()
 
 
 def extracted(files: DataFrame, html: str = "default") -> DataFrame:
-    """Adds content, error and the metadata found in the file; one pass, a batch of bytes at a time."""
+    """Adds content, error and the metadata found in the file; one pass, a file at a time where ``files`` has no content but paths."""
     smart = html == "smart"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts, errors, metas = [], [], []
-            for suffix, data in zip(pdf["suffix"], pdf["content"]):
+            for i, (suffix, path) in enumerate(zip(pdf["suffix"], pdf["path"])):
                 meta: dict[str, str] = {}
+                data = pdf["content"][i] if "content" in pdf else read_bytes(path)
                 if suffix in (".html", ".htm", ".mhtml", ".mht"):
                     try:
                         page = _extract.mhtml_html(data) if suffix.startswith(".mht") else _extract.decode_bytes(data)
@@ -71,13 +88,13 @@ def extracted(files: DataFrame, html: str = "default") -> DataFrame:
                     except Exception as e:  # noqa: BLE001 - a bad file is a row with an error
                         text, error = None, f"{type(e).__name__}: {e}"
                 else:
-                    text, error = _extract.extract(suffix, data)
+                    text, error = _extract.extract(suffix, data, path)
                 texts.append(text)
                 errors.append(error)
                 metas.append({k: str(v) for k, v in meta.items() if v})
             yield pd.DataFrame({"sha1": pdf["sha1"], "path": pdf["path"], "modified": pdf["modified"], "text": texts, "error": errors, "metadata": metas})
 
-    rows = files.select("sha1", "path", F.col("modificationTime").alias("modified"), file_suffix(F.col("path")).alias("suffix"), "content")
+    rows = files.select("sha1", "path", F.col("modificationTime").alias("modified"), file_suffix(F.col("path")).alias("suffix"), *[x for x in ("content",) if x in files.columns])
     return rows.mapInPandas(run, "sha1 string, path string, modified timestamp, text string, error string, metadata map<string,string>")
 
 
@@ -93,9 +110,9 @@ def ingest(spark: SparkSession, folder: str, known: DataFrame | None = None, inc
         files = files.join(names, "path", "left_semi")
     head: Column = F.when(file_suffix(F.col("path")).isin(".log", ".txt"), F.decode(F.substring("content", 1, 65536), "ISO-8859-1"))
     files = files.where(~skip_file(F.col("path"), F.coalesce(head, F.lit(""))))
-    files = files.withColumn("sha1", F.sha1("content"))
-    first = first_per_key(files.select("sha1", "path"), "sha1", "path")
-    files = files.join(first, ["sha1", "path"], "left_semi")
+    # Keys and paths are exchanged; contents are read where they are extracted, and only those that are wanted.
+    files = files.select("path", "modificationTime", F.sha1("content").alias("sha1"))
+    files = first_per_key(files, "sha1", "path")
     if known is not None and not overwrite:
         files = files.join(known.select("sha1").distinct(), "sha1", "left_anti")
     docs = extracted(files, html)

@@ -1,4 +1,4 @@
-"""Parquet tables, and an even spread of small ones."""
+"""Parquet tables, and a spread of scans over idle cores."""
 
 from __future__ import annotations
 
@@ -9,10 +9,9 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, below: int = 64 << 20) -> DataFrame:
-    """``df`` over all cores, if it is small: a single row group would be one task's work.
-
-    Where the files are larger there are row groups enough, and an exchange of them would cost more than it gives.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below else df
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if a scan would leave some without a task, whatever its size."""
+    execution, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    if execution.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":  # it comes from an exchange
+        return df
+    return df.repartition(cores) if execution.toRdd().getNumPartitions() < cores else df

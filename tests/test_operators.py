@@ -3,9 +3,9 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.operators import assembly as asm, enrichment as enr, search, selection as sel, storage as st
+from docweave.operators import assembly as asm, enrichment as enr, providers, search, selection as sel, storage as st
 from docweave.plans import sql as user_sql
-from docweave.plans.schema import compile_schema
+from docweave.plans.schema import compile_schema, complexity
 
 
 
@@ -275,7 +275,10 @@ def test_stub_is_deterministic_and_valid(spark):
     calls = enr.audited(enr.call_model(enr.with_prompts(docs, task), task), task, now=NOW())
     assert enr.results(calls, task).count() == 30 and enr.rejected(calls, task).count() == 0
     assert st.same_rows(calls, enr.audited(enr.call_model(enr.with_prompts(docs, task), task), task, now=NOW()))
-    assert enr.provider_for("anything") is enr.StubProvider
+    assert enr.provider_for("stub-2") is enr.StubProvider
+    for model in ("anything", "claude-x", "my-stub"):
+        with pytest.raises(providers.ModelError):
+            enr.provider_for(model)
 
 
 def test_agreement(spark):
@@ -309,13 +312,108 @@ def test_search(spark):
 
 def test_user_sql(spark):
     t = user_sql.translate("SELECT rowid, GROUP_CONCAT(a), 'like rowid' FROM t WHERE a LIKE 'x%' AND b NOT LIKE '%y' AND d > date('now','-30 days')")
-    assert t == "SELECT doc_id, listagg(a, ','), 'like rowid' FROM t WHERE a ILIKE 'x%' AND b NOT ILIKE '%y' AND d > date_add(current_date(), -30)"
+    assert t == "SELECT rowid, listagg(a, ','), 'like rowid' FROM t WHERE a ILIKE 'x%' AND b NOT ILIKE '%y' AND d > date_add(current_date(), -30)"
     docs = spark.createDataFrame([(1, "Abc"), (2, "xyz")], "doc_id int, name string")
     run = lambda q, **k: user_sql.run_query(spark, q, {"docs": docs}, **k)
-    assert [r.doc_id for r in run("SELECT rowid FROM docs WHERE name LIKE 'a%';").collect()] == [1]
+    assert [r.rowid for r in run("SELECT rowid FROM docs WHERE name LIKE 'a%';").collect()] == [1]
+    assert user_sql.translate("SELECT 'json_extract(x) date(''now'')', date('now'), GROUP_CONCAT(a, ' like ') FROM t") == "SELECT 'json_extract(x) date(''now'')', current_date(), listagg(a, ' like ') FROM t"
+    rows = run("SELECT rowid, * FROM docs")
+    assert rows.columns[0] == "rowid" and rows.columns.count("rowid") == 1 and "rowid" not in run("SELECT * FROM docs").columns
     assert run("all", named={"all": "SELECT d.name FROM docs d JOIN docs AS e ON d.doc_id = e.doc_id"}).count() == 2
     assert run("WITH c AS (SELECT * FROM docs) SELECT count(*) AS n FROM c").first().n == 2
     assert run("SELECT docs.name FROM docs ORDER BY docs.name LIMIT 1").first().name == "Abc"
     assert run("SELECT x FROM VALUES (1) v(x)").first().x == 1
     with pytest.raises(ValueError):
         run("DROP TABLE docs")
+
+
+# Providers and free text.
+
+
+def test_services_speak_their_protocols(monkeypatch):
+    seen = []
+
+    def chat(url, headers, body):
+        seen.append((url, headers, body))
+        return {"choices": [{"message": {"content": '{"tone": "calm"}'}}]}
+
+    def gemini(url, headers, body):
+        seen.append((url, headers, body))
+        return {"candidates": [{"content": {"parts": [{"text": "ca"}, {"text": "lm"}]}}]}
+
+    for name in ("OPENAI_API_KEY", "GEMINI_API_KEY", "GOOGLE_API_KEY"):
+        monkeypatch.delenv(name, raising=False)
+    with pytest.raises(providers.ModelError, match="OPENAI_API_KEY"):
+        providers.service("gpt-4o")
+    monkeypatch.setenv("OPENAI_API_KEY", "k1")
+    monkeypatch.setenv("GOOGLE_API_KEY", "k2")
+    fields = [{"name": "tone", "kind": "string", "choices": ["calm", "loud"], "many": False}, {"name": "n", "kind": "integer", "minimum": 1}]
+    one = providers.service("gpt-4o", chat)()
+    assert one.generate_structured("p", "s", "gpt-4o", fields, 0.5) == '{"tone": "calm"}' and one.max_context_tokens("gpt-4") == 8192 and one.count_tokens("x" * 40, "gpt-4o") == 10
+    url, headers, body = seen[-1]
+    assert url.startswith("https://api.openai.com/") and headers == {"Authorization": "Bearer k1"} and [m["role"] for m in body["messages"]] == ["system", "user"] and body["temperature"] == 0.5
+    assert body["response_format"]["json_schema"]["schema"]["properties"] == {"tone": {"type": "string", "enum": ["calm", "loud"]}, "n": {"type": "integer", "minimum": 1}}
+    other = providers.service("gemini-2.5-flash", gemini)()
+    assert other.generate_text("p", "s", "gemini-2.5-flash") == "calm"
+    url, headers, body = seen[-1]
+    assert "gemini-2.5-flash:generateContent" in url and headers == {"x-goog-api-key": "k2"} and body["systemInstruction"]["parts"][0]["text"] == "s"
+    with pytest.raises(providers.ModelError, match="no answer"):
+        providers.OpenAIProvider("k", lambda *a: {"choices": []}).generate_text("p")
+
+
+class Talker(enr.StubProvider):
+    def generate_text(self, prompt, system=None, model="stub", temperature=0.0):
+        assert "exactly one of" in prompt
+        return next(v for k, v in {"fence": "```\n\"loud\"\n```", "plain": "calm", "object": 'so: {"tone": "loud"}', "wrong": "rather calm"}.items() if k in prompt)
+
+
+def test_free_text_answers(spark):
+    task = enr.Task("t", "Rate {content}", ["content"], compile_schema({"enum": ["calm", "loud"]}, "tone"), "stub", free_text=True)
+    docs = spark.createDataFrame([(x, f"the {x} text") for x in ("fence", "plain", "object", "wrong")], "sha1 string, content string")
+    calls = enr.call_model(enr.with_prompts(docs, task), task, Talker)
+    audit = enr.audited(calls, task, run="r1")
+    assert {r.sha1: r.tone for r in enr.results(audit, task).collect()} == {"fence": "loud", "plain": "calm", "object": "loud"}
+    assert audit.first().enrichment_id != enr.audited(calls, task, run="r2").first().enrichment_id
+    two = compile_schema({"a": "integer", "b": {"enum_list": ["x", "y"]}})
+    assert two.instructions().count("\n") == 2 and "a JSON array of values from" in two.instructions()
+    assert complexity({"a": "string"})["is_simple"] and complexity({"a": "string", "b": "string"})["requires_separate_table"] and complexity(None)["field_count"] == 0
+
+
+# Versions of a table.
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    row = lambda n: spark.createDataFrame([(n,)], "n int")
+    a, b = st.Table(spark, path), st.Table(spark, path)
+    a.append(row(1))
+    real, raced = a._pointer, []
+
+    def slow():
+        found = real()
+        if not raced:
+            raced.append(b.append(row(2)))  # the other writer comes between
+        return found
+
+    a._pointer = slow
+    assert [r.n for r in a.append(row(3)).collect()] == [3]
+    a._pointer = real
+    assert sorted(r.n for r in a.read().collect()) == [1, 2, 3]
+    old = a.read()
+    b.append(row(4))
+    with pytest.raises(st.Conflict):
+        a.replace(old)
+    a.replace(a.read().where("n > 2"))
+    assert sorted(r.n for r in b.read().collect()) == [3, 4]
+
+
+def test_old_versions_go(spark, tmp_path):
+    t = st.Table(spark, f"file://{tmp_path}/t")
+    t.KEEP = 3
+    for n in range(8):
+        t.append(spark.createDataFrame([(n,)], "n int"))
+    t.compact(above=4)
+    assert t.read().count() == 8 and len(t._folders(t._versions()[-1])) == 1
+    for _ in range(4):
+        t.replace(t.read())
+    assert len(t._versions()) == 3 and len([x for x in t._names("") if x.startswith("v-")]) == 3 and t.read().count() == 8

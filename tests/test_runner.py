@@ -87,3 +87,25 @@ def test_command_line(spark, ws, tmp_path, capsys):
     assert "|3" in capsys.readouterr().out
     assert cli.main(["enrich", root, config, "--enrichments", "zzz"]) == 2
     assert cli.main(["query", root, "DROP TABLE documents"]) == 2
+
+
+def test_models_columns_and_row_ids(spark, ws, tmp_path, monkeypatch):
+    monkeypatch.delenv("OPENAI_API_KEY", raising=False)
+    base = {"prompt": "x {content}", "input_columns": ["content"], "schema": {"enum": ["a", "b"]}, "output_table": "o", "table": "documents"}
+    go = lambda more, **k: runner.enrich(ws, {"enrichments": [{"name": "t", **base, **more}]}, **k)
+    with pytest.raises(ConfigError, match="unknown model"):
+        go({"model": "no-such-model"})
+    with pytest.raises(ValueError, match="OPENAI_API_KEY"):
+        go({"model": "gpt-4o"})
+    with pytest.raises(ConfigError, match="no input column nothing"):
+        go({"input_columns": ["content", "nothing"]})
+    with pytest.raises(ConfigError, match="facts.year"):
+        go({"input_columns": ["facts.year"]})
+    # No key in the query, but row ids; results are logged.
+    done = go({"query": "SELECT rowid, content FROM documents", "model": "stub"}, log_updates=True)
+    assert done[0].n_results == 5 and spark.read.json(done[0].updates).count() == 5
+    assert {r.sha1 for r in ws.table("o").read().collect()} == {r.sha1 for r in ws.table("documents").read().collect()}
+    assert runner.query(ws, "SELECT rowid, * FROM documents").columns[0] == "rowid"
+    go({"model": "stub"}, overwrite=True)
+    audit = ws.table("enrichment_responses").read()
+    assert audit.count() == audit.select("enrichment_id").distinct().count() == 10

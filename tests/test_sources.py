@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.operators.storage import Table
-from docweave.sources import export as ex, extract as xt, files as fl, plugins as pl
+from docweave.sources import export as ex, extract as xt, files as fl, plugins as pl, programs as pr
 from docweave.streaming import ingest as stream
 
 HTML = '<!DOCTYPE html><html><head><title>A &amp; B</title><style>p{x:1}</style><script>var t="</p>";</script></head><body><!-- BODY --><h1>Head <em>line</em></h1><p>One\n  two<br>three</p><div>in<span>line</span></div><noscript>no</noscript><ul><li>x<li>y</ul>tail</body></html>'
@@ -75,7 +75,7 @@ def test_documents():
     assert xt.docx_title(docx("para", title="T")) == "T" and xt.docx_title(docx("para " * 40))[:5] == "para "
     assert xt.epub_text(epub()) == "first\n\nsecond"
     assert xt.extract(".txt", " é \n".encode("cp1252")) == ("é", None)
-    assert xt.extract(".pdf", b"x")[1] == ".pdf: needs an extractor plugin" and xt.extract(".xyz", b"")[1] == ".xyz: unsupported"
+    assert xt.extract(".xyz", b"")[1] == ".xyz: unsupported"
     assert xt.extract(".txt", None) == (None, "no text in it") and "BadZipFile" in xt.extract(".docx", b"no")[1]
     xt.register_extractor(".FOO", lambda b: "foo")
     assert xt.extract(".foo", b"") == ("foo", None)
@@ -230,3 +230,56 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
     if os.path.isdir("/root/testdata/sf0.001"):
         assert e.entry(spark).count() > 0
+
+
+# Outside programs, played by scripts.
+
+
+@pytest.fixture
+def programs_at(tmp_path, monkeypatch):
+    def install(**scripts):
+        for name, body in scripts.items():
+            p = tmp_path / "bin" / name
+            p.parent.mkdir(exist_ok=True)
+            p.write_text("#!/bin/sh\n" + body)
+            p.chmod(0o755)
+        monkeypatch.setenv("PATH", f"{tmp_path}/bin:/usr/bin:/bin")
+
+    return install
+
+
+def test_pdf_by_the_first_program_that_can(programs_at, tmp_path):
+    text = "a page of plain words " * 10
+    programs_at(pdftotext=f"grep -q scan $1 || echo '{text}'")
+    assert pr.pdf_text(b"x") == (text.strip(), "pdftotext")
+    with pytest.raises(pr.Unreadable, match="mutool"):
+        pr.pdf_text(b"scan")
+    programs_at(mutool="echo '=== === ==='")
+    assert pr.pdf_text(b"scan")[1] == "mutool, poor"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/s.pdf").write_bytes(b"scan")
+    programs_at(ocrmypdf="for last; do :; done; echo seen > $last")
+    path = f"file:{tmp_path}/in/s.pdf"
+    assert pr.pdf_text(b"scan", path)[1] == "ocrmypdf" and os.path.isfile(tmp_path / "in/s--OCR.pdf")
+    assert pr.pdf_text(b"scan", path) == (text.strip(), "ocr cache") and pr.ocr_path("a--OCR.pdf") == "a--OCR.pdf"
+    assert xt.extract(".pdf", b"x") == (text.strip(), None)
+
+
+def test_other_programs(programs_at, monkeypatch):
+    assert "is one of them installed?" in xt.extract(".djvu", b"x")[1]
+    programs_at(djvutxt="cat $1", antiword="exit 1", catdoc="cat $1", **{"ebook-convert": "cp $1 $2"}, w3m="for last; do :; done; sed s/.p.// $last")
+    assert [xt.extract(s, b"words")[0] for s in (".djvu", ".doc", ".mobi", ".azw3")] == ["words"] * 4 and pr.page_text(b"<p>hi") == "hi"
+    programs_at(djvutxt="sleep 5")
+    monkeypatch.setattr(pr, "TEXT_SECONDS", 0.2)
+    assert xt.extract(".djvu", b"x")[0] is None
+
+
+def test_ingest_reads_contents_last(spark, tmp_path):
+    """The content is in no exchange of the plan."""
+    (tmp_path / "in").mkdir()
+    for i in range(4):
+        (tmp_path / f"in/f{i}.txt").write_text(f"text number {i % 3}")
+    docs = fl.ingest(spark, f"file://{tmp_path}/in", known=spark.createDataFrame([(hashlib.sha1(b"text number 2").hexdigest(),)], "sha1 string"))
+    assert sorted(r.content for r in docs.collect()) == ["text number 0", "text number 1"]
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert "content" not in "".join(x for x in plan.split("\n") if "Join" in x or "Aggregate" in x)
