@@ -263,7 +263,14 @@ def html_default(spark, sf_dir):
     return texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", _html(extract.html_text)(F.col("html")).alias("content"))
 
 
-@query()
+# Signs for what tags do: 1 ends a line, 2 does so with a blank line after it, 3 parts words. An unclosed paragraph ends with its article.
+_SIGNED = rf"regexp_replace({_BARE}, '(?i)</(p|h[1-6]|article)[^>]*>', chr(1) || chr(2) || chr(1), 'g')"
+_SIGNED = rf"regexp_replace(regexp_replace({_SIGNED}, '(?i)</?(article|aside|blockquote|br|div|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)(\s[^>]*)?/?>', chr(1), 'g'), '<[^>]*>', chr(3), 'g')"
+_WORDED = "array_to_string([z FOR z IN [" + _TRIM.format(f"regexp_replace({_plain_sql('y')}, '\\s+', ' ', 'g')") + " FOR y IN string_split(x, chr(3))] IF z <> ''], ' ')"
+_LINES = f"[CASE WHEN v = chr(2) THEN '' ELSE v END FOR v IN [{_WORDED} FOR x IN string_split({_SIGNED}, chr(1))] IF v <> '']"
+
+
+@query(f"SELECT page_id, {_TRIM.format(f"regexp_replace(array_to_string({_LINES}, chr(10)), '\\n\\n+', chr(10) || chr(10), 'g')")} AS content FROM pages")
 def html_smart(spark, sf_dir):
     return texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", _html(extract.html_smart)(F.col("html")).alias("content"))
 
