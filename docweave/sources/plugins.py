@@ -9,6 +9,7 @@ import json
 import os
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -113,6 +114,49 @@ def literature(items: DataFrame, attachments: DataFrame) -> DataFrame:
     )
 
 
+def fetch_json(url: str, headers: dict[str, str]) -> tuple[list[dict], dict[str, str]]:
+    """The transport that is used where none is given: a page's records and the answer's headers."""
+    import urllib.request
+
+    with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=60) as answer:  # noqa: S310 - the caller's service
+        return json.load(answer), dict(answer.headers)
+
+
+def paged_records(spark: SparkSession, url: str, headers: dict[str, str] | None = None, size: int = 100, transport=fetch_json) -> DataFrame:
+    """(record) JSON texts of a service that takes ``start`` and ``limit`` and tells ``Total-Results``; each page is fetched by a task.
+
+    The result is to be written before it is used twice: every evaluation asks the service again.
+    """
+    headers, mark = dict(headers or {}), "&" if "?" in url else "?"
+    told = {k.lower(): v for k, v in transport(f"{url}{mark}start=0&limit=1", headers)[1].items()}
+    total = int(told["total-results"])
+
+    def run(batches):
+        for pdf in batches:
+            for start in pdf["id"]:
+                records, _ = transport(f"{url}{mark}start={start}&limit={size}", headers)
+                yield pd.DataFrame({"record": [json.dumps(r, ensure_ascii=False) for r in records]}, dtype=object)
+
+    return spark.range(0, total, size, max(1, -(-total // size))).mapInPandas(run, "record string")
+
+
+def collection(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items and attachments, as ``literature`` takes them, of a service's records."""
+    items = records.select(F.from_json("record", ITEM).alias("r")).select("r.*")
+    attached = records.select(F.from_json("record", "key string, data struct<itemType:string,parentItem:string,linkMode:string,contentType:string,filename:string>").alias("r"))
+    attached = attached.where("r.data.itemType = 'attachment'").select(F.col("r.data.parentItem").alias("parent"), F.col("r.key").alias("key"), F.col("r.data").dropFields("parentItem").alias("data"))
+    return usable_items(items), attached
+
+
+def literature_counters(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """How many items had a text, an abstract alone, nothing, or were known before."""
+    status = F.col("status")
+    if known is not None:
+        rows = rows.join(known.select(F.col("sha1").alias("_known")).distinct(), F.col("sha1") == F.col("_known"), "left")
+        status = F.when(F.col("_known").isNotNull(), "skipped").otherwise(status)
+    return rows.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def doi_files(cache: DataFrame, projects: DataFrame, validation: DataFrame) -> DataFrame:
     """DOI records of projects, with the validation of their files found by ``doi#type``."""
     joined = cache.join(projects, "doi")

@@ -283,3 +283,19 @@ def test_ingest_reads_contents_last(spark, tmp_path):
     assert sorted(r.content for r in docs.collect()) == ["text number 0", "text number 1"]
     plan = docs._jdf.queryExecution().optimizedPlan().toString()
     assert "content" not in "".join(x for x in plan.split("\n") if "Join" in x or "Aggregate" in x)
+
+
+def test_a_collection_comes_in_pages(spark):
+    def served(url, headers):
+        assert headers == {"Key": "k"}
+        start, limit = (int(x.rpartition("=")[2]) for x in url.split("?")[1].split("&")[-2:])
+        items = [{"key": f"i{n}", "data": {"itemType": "book", "title": f"T{n}", "abstractNote": "A" if n % 2 else "", "date": "1999"}} for n in range(25)]
+        files = [{"key": f"a{n}", "data": {"itemType": "attachment", "parentItem": f"i{n}", "linkMode": "imported_file", "contentType": "application/pdf", "filename": "x.pdf"}} for n in range(5)]
+        return (items + files)[start : start + limit], {"Total-Results": "30"}
+
+    records = pl.paged_records(spark, "https://library.test/items?v=3", {"Key": "k"}, size=7, transport=served)
+    assert records.rdd.getNumPartitions() == 5 and records.count() == 30
+    rows = pl.literature(*pl.collection(records))
+    assert {r.status: r.n for r in pl.literature_counters(rows).collect()} == {"success": 5, "abstract_only": 10, "no_attachment": 10}
+    known = rows.where("item_key = 'i1'")
+    assert {r.status: r.n for r in pl.literature_counters(rows, known).collect()} == {"success": 4, "skipped": 1, "abstract_only": 10, "no_attachment": 10}
