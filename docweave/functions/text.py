@@ -37,12 +37,28 @@ def clean_ocr(text: Column) -> Column:
     return strip(out)
 
 
+def _share(text: Column, signs: str) -> Column:
+    """Share of characters in runs of ``signs``; null for an empty text. Whole runs go at once: a match per character is slow."""
+    n = F.length(text)
+    return (n - F.length(F.regexp_replace(text, signs, ""))) / F.nullif(n, F.lit(0))
+
+
 def alnum_ratio(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")) / F.length(text)
+    return _share(text, r"[\p{L}\p{N}]+")
 
 
 def control_ratio(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[^\x00-\x08\x0B\x0C\x0E-\x1F]", "")) / F.length(text)
+    return _share(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]+")
+
+
+def few_letters(text: Column) -> Column:
+    """Hardly a letter or digit in it; an empty text has no share of them."""
+    return (F.length(text) > 0) & (alnum_ratio(text) < 0.15)
+
+
+def many_controls(text: Column) -> Column:
+    """More than a tenth control characters."""
+    return (F.length(text) > 0) & (control_ratio(text) > 0.1)
 
 
 def has_long_run(text: Column, times: int = 21) -> Column:
@@ -58,13 +74,13 @@ def has_repeated_unit(text: Column, times: int = 11, longest: int = 10) -> Colum
 def text_is_garbage(text: Column, least: int = 100, long_run: Column | None = None) -> Column:
     """Too short, one character over and over, or hardly a letter in it. ``long_run``: the flag, where it is known."""
     t = F.coalesce(text, F.lit(""))
-    return (F.length(t) < least) | (F.length(t) == 0) | (has_long_run(t) if long_run is None else long_run) | (alnum_ratio(t) < 0.15)
+    return (F.length(t) < least) | (F.length(t) == 0) | (has_long_run(t) if long_run is None else long_run) | few_letters(t)
 
 
 def content_is_garbage(text: Column, repeated_unit: Column | None = None) -> Column:
     """Too short once trimmed, a repeated unit, or more than a tenth control characters. ``repeated_unit``: the flag, where it is known."""
     t = F.coalesce(text, F.lit(""))
-    return (F.length(strip(t)) < 50) | (has_repeated_unit(t) if repeated_unit is None else repeated_unit) | (control_ratio(t) > 0.1)
+    return (F.length(strip(t)) < 50) | (has_repeated_unit(t) if repeated_unit is None else repeated_unit) | many_controls(t)
 
 
 #: Families of wrongly decoded UTF-8, counted each by itself (some overlap on purpose).

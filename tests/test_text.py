@@ -46,6 +46,15 @@ def test_garbage(spark):
     assert column(spark, ["a\r" * 11, "\n" * 30], tx.has_repeated_unit) == [True, False]
 
 
+def test_quality_flags_of_any_length(spark, tmp_path):
+    from docweave.plans import catalog
+
+    texts = ["", None, "\n", "\x01", "😀" * 85 + "é" * 15, "-" * 86 + "é" * 14, "\x01" * 10 + "q" * 90, "\x01" * 11 + "q" * 89]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r)[1:] for r in catalog.text_quality_flags(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert got == [(True, False, False), (None, None, None), (True, True, False), (True, True, True), (False, False, False), (False, True, False), (False, False, False), (False, False, True)]
+
+
 def test_mojibake(spark):
     broken = "naïve café déjà vu".encode().decode("latin-1")
     assert column(spark, [broken, "naïve café", "short", None, "Ã©" * 20], tx.is_mojibake) == [codecs.looks_broken(broken), False, False, False, True]
