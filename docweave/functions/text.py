@@ -215,11 +215,11 @@ def bibtex_journal(entry: Column) -> Column:
 
 
 def abstract_of(metadata: Column, text: Column) -> Column:
-    """The metadata's abstract, else what follows such a heading, if it has 50 to 2000 characters."""
+    """The metadata's abstract, else what follows such a heading up to a blank line, if that has 50 to 2000 characters."""
     given = metadata["abstract"]
-    found = strip(F.regexp_extract(text, r"(?is)\babstract\b[:.\s]*\n?(.{50,2000}?)(?:\n\s*\n|\n\s*(?:keywords|introduction)\b|$)", 1))
-    other = strip(F.regexp_extract(text, r"(?is)\bsummary\b[:.\s]*\n?(.{50,2000}?)(?:\n\s*\n|$)", 1))
+    after = lambda heading, end: strip(F.regexp_extract(text, rf"(?is)\b{heading}\b[^\S\n]*[:.]*\s*(.*?)(?:\n\s*\n|{end}$)", 1))
     sized = lambda x: F.when(F.length(x).between(50, 2000), x)
+    found, other = after("abstract", r"\n\s*(?:keywords|introduction)\b|"), after("summary", "")
     return F.coalesce(F.when(F.length(F.coalesce(given, F.lit(""))) > 0, given), sized(found), sized(other))
 
 

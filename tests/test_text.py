@@ -112,6 +112,12 @@ def test_abstract(spark):
     assert got == ["given", long.strip(), None, long.strip()]
 
 
+def test_abstract_ends_at_a_blank_line(spark):
+    short, exact = "x" * 49, ".5 g of it " + "y" * 39
+    texts = [f"Title\n\nAbstract\n{short}\n\nMain part", f"Title\n\nAbstract:\n{exact}\n\nMain part", f"Abstract\n{'z' * 2001}\n\nabstract\n{exact}", f"Abstract\n{'z' * 2000}", f"Summary. {short}\n\nMore of it", None]
+    assert column(spark, texts, lambda x: tx.abstract_of(F.struct(F.lit(None).cast("string").alias("abstract")), x)) == [None, exact, None, "z" * 2000, None, None]
+
+
 def test_metadata_keys(spark):
     rows = spark.createDataFrame([({"A-b C": " x ", "empty": " ", "none": None},)], "m map<string,string>")
     assert rows.select(tx.normalise_metadata(F.col("m"))).first()[0] == {"a_b_c": "x"}
