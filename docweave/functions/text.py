@@ -61,14 +61,27 @@ def many_controls(text: Column) -> Column:
     return (F.length(text) > 0) & (control_ratio(text) > 0.1)
 
 
+def _may_repeat(times: int, longest: int) -> str:
+    """A pattern for whatever has a unit of up to ``longest`` characters ``times`` times in a row, and for little else.
+
+    It looks for half as many units at every few places only: a run is so long that such a place lies in its first half.
+    """
+    half = (times - 1) // 2
+    walks: dict[int, list[str]] = {}
+    for k in range(1, longest + 1):
+        step = max(1, half << (k.bit_length() - 1))  # at most half * k
+        walks.setdefault(step, []).append(rf"(?<u{k}>[^\n]{{{k}}})\k<u{k}>{{{times - 1 - half}}}")
+    return r"(?s)\A(?:" + "|".join(rf"(?:.{{{step}}})*?(?={'|'.join(units)})" for step, units in walks.items()) + ")"
+
+
 def has_long_run(text: Column, times: int = 21) -> Column:
     """One character at least ``times`` times in a row."""
-    return text.rlike(rf"(?d)(.)\1{{{times - 1},}}")
+    return text.rlike(_may_repeat(times, 1)) & text.rlike(rf"(?d)(.)\1{{{times - 1},}}")
 
 
 def has_repeated_unit(text: Column, times: int = 11, longest: int = 10) -> Column:
     """A unit of up to ``longest`` characters at least ``times`` times in a row."""
-    return text.rlike(rf"(?d)(.{{1,{longest}}})\1{{{times - 1},}}")
+    return text.rlike(_may_repeat(times, longest)) & text.rlike(rf"(?d)(.{{1,{longest}}})\1{{{times - 1},}}")
 
 
 def text_is_garbage(text: Column, least: int = 100, long_run: Column | None = None) -> Column:
@@ -80,7 +93,7 @@ def text_is_garbage(text: Column, least: int = 100, long_run: Column | None = No
 def content_is_garbage(text: Column, repeated_unit: Column | None = None) -> Column:
     """Too short once trimmed, a repeated unit, or more than a tenth control characters. ``repeated_unit``: the flag, where it is known."""
     t = F.coalesce(text, F.lit(""))
-    return (F.length(strip(t)) < 50) | (has_repeated_unit(t) if repeated_unit is None else repeated_unit) | many_controls(t)
+    return ~t.rlike(r"(?Us)\S.{48,}?\S") | (has_repeated_unit(t) if repeated_unit is None else repeated_unit) | many_controls(t)
 
 
 #: Families of wrongly decoded UTF-8, counted each by itself (some overlap on purpose).

@@ -46,6 +46,28 @@ def test_garbage(spark):
     assert column(spark, ["a\r" * 11, "\n" * 30], tx.has_repeated_unit) == [True, False]
 
 
+def test_repeats_at_any_place(spark):
+    texts = []
+    for unit in ("a", "é😀", "abc", "x yz", "12345", "abcdef", "1234567", "😀bcdefgh", "abcdefghi", "0123456789", "abcdefghijk", "\n", "ab\n"):
+        texts += ["".join(chr(200 + i) for i in range(before)) + unit * n + "+-" for n in (10, 11, 21) for before in (*range(42), 77)]
+    assert column(spark, texts, tx.has_repeated_unit) == [bool(re.search(r"(.{1,10})\1{10,}", x)) for x in texts]
+    assert column(spark, texts, tx.has_long_run) == [bool(re.search(r"(.)\1{20,}", x)) for x in texts]
+    few = [x[:30] for x in texts]
+    for times, longest in ((2, 3), (3, 1), (4, 10)):
+        assert column(spark, few, lambda x, n=times, m=longest: tx.has_repeated_unit(x, n, m)) == [bool(re.search(rf"(.{{1,{longest}}})\1{{{times - 1},}}", x)) for x in few]
+    ends = ["x" + "\u3000" * 48 + "y", "x" + " " * 47 + "y", " \n" * 60 + "z", "q" * 49 + " " * 99, " " * 9 + "q" * 50 + "\n"]
+    assert column(spark, ends, lambda x: tx.content_is_garbage(x, repeated_unit=F.lit(False))) == [len(x.strip()) < 50 for x in ends]
+
+
+def test_repetition_flags_of_null_and_long_texts(spark, tmp_path):
+    from docweave.plans import catalog
+
+    text = "".join(chr(97 + i * i % 23) + " " * (i % 7 == 0) for i in range(400_000))
+    spark.createDataFrame([(1, text), (2, None), (3, text + "x" * 21), (4, text + "ab" * 11)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r)[1:] for r in catalog.text_repetition_flags(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert got == [(False, False, False, False), (False, False, None, None), (True, True, True, True), (False, True, False, True)]
+
+
 def test_quality_flags_of_any_length(spark, tmp_path):
     from docweave.plans import catalog
 
